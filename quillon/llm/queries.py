@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, packing
+from quillon.llm import chat, neardup, packing
 from quillon.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(rows.unionByName(extra))))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.clusters(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,7 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL}
 
 
 OP4_SQL = r"""
@@ -61,3 +65,33 @@ select conv_id,
   cast(sum(escaped + marks) as bigint) as formatted_chars
 from sized group by conv_id
 """
+
+OP9_SQL = r"""
+with recursive tokens as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as s from tokens
+), sized as (
+  select doc_id, cast(len(s) as bigint) as n, s from sets
+), shingles as (
+  select doc_id, n, unnest(s) as g from sized
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, a.n as an, b.n as bn, count(*) as both_
+  from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id
+  where 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by all
+), links as (
+  select a, b from pairs where 100 * both_ >= 75 * (an + bn - both_)
+), edges as (
+  select a, b from links union select b, a from links
+), reach(a, b) as (
+  select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a
+), roots as (
+  select a as doc_id, min(b) as root from reach group by a
+)
+select s.doc_id, s.n as n_shingles, least(s.doc_id, coalesce(r.root, s.doc_id)) as component_id,
+  s.doc_id <= coalesce(r.root, s.doc_id) as kept
+from sized s left join roots r on s.doc_id = r.doc_id
+"""
