@@ -6,14 +6,15 @@ found.  The stages:
 
 1. Sketch.  Rounds of hashed bin placement: in round i < t every shingle goes to a hashed bin with value i + hash; the
    least value of a bin is its coordinate, and rounds end when all bins are full.  After t rounds, round t + j
-   fills bin j from all shingles.  So every coordinate fills and estimates concentrate.  56 bands of 6 of the 512
+   fills bin j from all shingles.  So every coordinate fills and estimates concentrate.  56 bands of 6 of the 1024
    coordinates miss a pair at 0.75 with probability (1 - 0.75^6)^56 < 2e-5; two bits of each coordinate are kept
    to screen pairs.
 2. Classes.  Equal sets are one class, whose representative is the least doc_id; copies are never paired.
 3. Stars.  Each bucket of a band compares its members with its least member only: pairs are linear in the members.
 4. The rest.  In buckets that hold several components after that, members outside the least member's component
    are compared with members of other components.  Sizes and kept bits screen the pairs inside the join
-   (the bits at five standard deviations), so groups that are already one component cost nothing more.
+   (the bits at five standard deviations), and a pair is made in the first band it shares, so groups that are
+   already one component cost nothing more and others only their pairs near the threshold.
 5. Verification of all pairs on full sets, computed from whole texts.  The members of a star are dealt out in
    chunks, each with its own copy of the centre, so that no task depends on a star's size.
 6. Components by alternating large-star and small-star steps, each written to the shared folder.
@@ -40,10 +41,10 @@ from quillon.llm.frames import keep, shuffle_width
 WORDS = 5
 #: Linked where 100 * intersection >= 75 * union.
 PERCENT = 75
-COORDINATES = 512
+COORDINATES = 1024
 BANDS, ROWS = 56, 6
-#: Of 512 two-bit coordinates 96 differ on average at 0.75, with a standard deviation of 8.8; five of them are allowed.
-MOST_DIFFERENT = 140
+#: Of 1024 two-bit coordinates 192 differ on average at 0.75, with a standard deviation of 12.5; five of them are allowed.
+MOST_DIFFERENT = 254
 CHUNK = 200
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -232,7 +233,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     buckets = entries.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members"))
     buckets = keep(buckets.where("members > 1").select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("centre_n"), "members"), "buckets")
     entries = keep(entries.join(buckets, "key"), "entries")
-    slim = reps.select("doc_id", "bits")
+    slim = reps.select("doc_id", "bits", "bands")
     stars = entries.where("doc_id <> centre").where(alike_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stars.join(slim.select(F.col("doc_id").alias("a"), F.col("bits").alias("x")), "a").join(slim.select(F.col("doc_id").alias("b"), F.col("bits").alias("y")), "b")
     stars = keep(stars.where(different("x", "y") <= MOST_DIFFERENT).select("a", "b").distinct(), "stars")
@@ -248,14 +249,15 @@ def clusters(docs: DataFrame) -> DataFrame:
     outside = open_.where("outside").join(slim, "doc_id")
     keys = keep(outside.select("key").distinct(), "open-keys")
     others = open_.where("doc_id <> centre").join(keys, "key", "left_semi").join(slim, "doc_id")
-    x = keep(outside.select("key", *(F.col(c).alias("x_" + c) for c in ("doc_id", "n", "comp", "bits"))), "open-x")
-    y = keep(others.select("key", *(F.col(c).alias("y_" + c) for c in ("doc_id", "n", "comp", "bits", "outside"))), "open-y")
+    x = keep(outside.select("key", *(F.col(c).alias("x_" + c) for c in ("doc_id", "n", "comp", "bits", "bands"))), "open-x")
+    y = keep(others.select("key", *(F.col(c).alias("y_" + c) for c in ("doc_id", "n", "comp", "bits", "bands", "outside"))), "open-y")
     fits = (
         (x["key"] == y["key"])
         & (F.col("x_comp") != F.col("y_comp"))
         & (~F.col("y_outside") | (F.col("x_doc_id") < F.col("y_doc_id")))
         & alike_in_size("x_n", "y_n")
         & (different("x_bits", "y_bits") <= MOST_DIFFERENT)
+        & (F.filter(F.arrays_zip("x_bands", "y_bands"), lambda b: b["x_bands"] == b["y_bands"])[0]["x_bands"] == x["key"])
     )
     rest = x.join(y, fits).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
