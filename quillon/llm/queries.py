@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, fingerprint, neardup, packing, quality, toxicity
+from quillon.llm import chat, decontaminate, fingerprint, neardup, packing, quality, toxicity, warc
 from quillon.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
 
 
 OP4_SQL = r"""
@@ -89,6 +94,21 @@ select conv_id,
 from sized group by conv_id
 """
 
+OP6_SQL = r"""
+with digests as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), coded as (
+  select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((('0x' || substr(h, 1 + 10 * (i // 8)::int, 10))::ubigint >> (35 - 5 * (i % 8))::int) & 31 as int) + 1, 1)), '') as payload_digest,
+    min(page_id) over (partition by h) as first_
+  from digests
+)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = first_ then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_ then first_ end as refers_to
+from coded
+"""
+
 OP9_SQL = r"""
 with recursive tokens as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
