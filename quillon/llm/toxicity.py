@@ -32,7 +32,7 @@ from quillon.llm import textkit as tk
 from quillon.llm.frames import keep
 
 #: At most so many labelled rows are learnt from.
-MAX_LABELLED = 6000
+MAX_LABELLED = 5000
 FOLDS = 4
 #: Absolute discounts that are tried; 0 stands for the usual estimate.
 DISCOUNTS = (0.0, 2.0, 4.0)
@@ -63,7 +63,7 @@ def discount(once: int, twice: int) -> float:
 
 @dataclass
 class Counts:
-    """Counts by class, each n x 2: of bigrams seen twice at least, of contexts (tokens and types) and of words (continuation types, and pooled ones)."""
+    """Counts by class, each n x 2: of bigrams seen twice at least, of contexts and of words (continuation types, and pooled ones)."""
 
     bigram: np.ndarray
     bigram_context: np.ndarray
@@ -71,7 +71,6 @@ class Counts:
     bigram_n: np.ndarray
     context: np.ndarray
     context_n: np.ndarray
-    context_types: np.ndarray
     word: np.ndarray
     word_types: np.ndarray
     word_pooled: np.ndarray
@@ -215,22 +214,32 @@ def _column(rows: "pa.Table", name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
 
-def gathered(bigrams: DataFrame, out_fold: int | None) -> Counts:
-    """Counts without one fold, from a written table context, word, n0..n3 (fold * 2 + label)."""
-    by = [sum((F.col(f"n{f * 2 + k}") for f in range(FOLDS) if f != out_fold), F.lit(0)) for k in (0, 1)]
-    b = bigrams.select("context", "word", by[0].alias("a"), by[1].alias("b")).where("a + b > 0")
-    two = b.where("a + b > 1").toArrow()
-    context = b.groupBy("context").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb")).toArrow()
-    word = b.groupBy("word").agg(F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb"), F.count("*").alias("t")).toArrow()
-    s = b.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in "ab" for k in (1, 2))).first()
-    u = lambda t, c: _column(t, c).view(np.uint64)
-    both = lambda t, x, y: np.stack([_column(t, x), _column(t, y)], 1).astype(float)
-    return Counts(
-        pair(u(two, "context"), u(two, "word")), u(two, "context"), u(two, "word"), both(two, "a", "b"),
-        u(context, "context"), both(context, "a", "b"), both(context, "ta", "tb"),
-        u(word, "word"), both(word, "ta", "tb"), _column(word, "t"),
-        np.array([discount(s["a1"], s["a2"]), discount(s["b1"], s["b2"])]),
-    )
+class Gathered:
+    """Counts of the bounded sample by fold and label, from rows (context, word, cell, n)."""
+
+    def __init__(self, rows: "pa.Table"):
+        context, word = (_column(rows, c).view(np.uint64) for c in ("context", "word"))
+        self.key, first, place = np.unique(pair(context, word), return_index=True, return_inverse=True)
+        self.n = np.zeros((len(self.key), 2 * FOLDS), np.int32)
+        np.add.at(self.n, (place, _column(rows, "cell")), _column(rows, "n").astype(np.int32))
+        self.contexts, self.context = np.unique(context[first], return_inverse=True)
+        self.words, self.word = np.unique(word[first], return_inverse=True)
+
+    def without(self, fold: int | None) -> Counts:
+        n = np.stack([sum(self.n[:, 2 * f + k] for f in range(FOLDS) if f != fold) for k in (0, 1)], axis=1)
+        seen = n.sum(axis=1) > 0
+        two = n.sum(axis=1) > 1
+        by = lambda place, size, x: np.bincount(place, x, size)
+        sums_of = lambda place, size, x: np.stack([by(place, size, x[:, k].astype(float)) for k in (0, 1)], axis=1)
+        pooled = by(self.word, len(self.words), seen.astype(float))
+        context_n = sums_of(self.context, len(self.contexts), n)
+        used_w, used_c = pooled > 0, context_n.sum(axis=1) > 0
+        return Counts(
+            self.key[two], self.contexts[self.context[two]], self.words[self.word[two]], n[two].astype(float),
+            self.contexts[used_c], context_n[used_c],
+            self.words[used_w], sums_of(self.word, len(self.words), n > 0)[used_w], pooled[used_w],
+            np.array([discount(int((n[:, k] == 1).sum()), int((n[:, k] == 2).sum())) for k in (0, 1)]),
+        )
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -247,13 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label: st
         "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), (F.col("label") > 0).cast("int").alias("label"), "text"
     )
     rows = keep(rows, "labelled")
-    sums_by_cell = [F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)]
-    bigrams = rows.mapInArrow(_bigrams, "context long, word long, cell int, n long").groupBy("context", "word").agg(*sums_by_cell)
-    bigrams = keep(bigrams, "bigrams")
+    cells = rows.mapInArrow(_bigrams, "context long, word long, cell int, n long").groupBy("context", "word", "cell").agg(F.sum("n").cast("int").alias("n"))
+    gathered = Gathered(cells.toArrow())  # of the sample only
     tally = rows.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count("*").alias("all")).first()
     if not 0 < tally["ones"] < tally["all"]:
         return calibrated([], np.arange(tally["all"]) < tally["ones"])
-    sent = rows.sparkSession.sparkContext.broadcast([all_ratios(gathered(bigrams, f)) for f in range(FOLDS)])
+    sent = rows.sparkSession.sparkContext.broadcast([all_ratios(gathered.without(f)) for f in range(FOLDS)])
     settings = len(ORDERS) * len(DISCOUNTS)
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label: st
     got = rows.mapInArrow(unseen, "doc_id long, label int, x array<double>").orderBy("doc_id", "x").toArrow()
     sent.unpersist()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, settings, len(EVIDENCE))
-    every = all_ratios(gathered(bigrams, None))
+    every = all_ratios(gathered.without(None))
     return calibrated([(r, x[:, j]) for j, r in enumerate(every)], _column(got, "label").astype(float))
 
 
