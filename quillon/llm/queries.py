@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, fingerprint, neardup, packing, quality, toxicity, warc
+from quillon.llm import chat, decontaminate, fingerprint, license, lm, neardup, packing, quality, toxicity, warc
 from quillon.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(docs, model).select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_good"), quality.selected(model, 1).alias("selected"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.scores(table(spark, sf_dir, "documents"), held)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXTRA_TEXT), (-7, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
@@ -55,6 +60,18 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id",
+        F.array_sort(F.array_distinct(sure["family"])).alias("families"),
+        F.size(sure).alias("n_confirmed"),
+        F.size("licences").alias("n_predicted"),
+        F.transform(sure, lambda x: x["paragraph"]).alias("paragraphs"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clusters(table(spark, sf_dir, "documents"))
 
