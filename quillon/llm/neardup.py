@@ -271,3 +271,19 @@ def clusters(docs: DataFrame) -> DataFrame:
     component = F.coalesce("root", "rep")
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of each component, with their own columns. Of rows that share a doc_id one stays, by hash of its text; null doc_ids all stay."""
+    found = keep(clusters(docs).select("doc_id", "kept"), "kept")
+    gone = keep(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    again = keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    n = again.count()
+    if not n:
+        return out.select(*docs.columns)
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    once = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(row))).alias("row")).select("row.*")
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
