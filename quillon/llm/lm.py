@@ -40,11 +40,13 @@ ORDER = 6
 BACKOFF = 4
 #: Least share of all symbols for an n-gram of the trie.
 RAREST = 2.0**-25
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes that no word has.
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
-CACHE_BITS = 21
+CACHE_BITS = 20
+#: n-grams that a task holds before it adds them up, and that it may hold on to after that.
+MOST_PENDING, MOST_HELD = 2_000_000, 1_300_000
 
 META, WORDS, GRAMS = 0, 1, 2
 BLOCKS = "kind int, block long, shard int, doc_ids array<long>, held array<boolean>, a binary, b binary"
@@ -76,7 +78,11 @@ def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def spelled(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +129,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
     """A row for each shard that has keys; keys ascend."""
     edge = np.searchsorted(shards_of(keys, shards), np.arange(shards + 1))
-    return [(kind, block, s, None, None, press(gaps(keys[a:b])), press(n[a:b])) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+    return [(kind, block, s, None, None, press(gaps(keys[a:b])), press(n[a:b].astype(np.int64))) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
 
 
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
@@ -148,16 +154,16 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                     key, key_at = grams(data[at[a] : at[b]], at[a : b + 1] - at[a])
                     key = np.sort(key[np.repeat(learnt[a:b], np.diff(key_at))])
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                    counted.append((key[first], np.diff(np.append(first, len(key)))))
+                    counted.append((key[first], np.diff(np.append(first, len(key))).astype(np.int32)))
                     pending += len(first)
-                if pending > 4_000_000:
-                    counted = [added(*(np.concatenate(x) for x in zip(*counted, strict=True)))]
+                if pending > MOST_PENDING:
+                    counted = [merged(counted)]
                     pending = len(counted[0][0])
-                    if pending > 2_500_000:
+                    if pending > MOST_HELD:
                         yield _record(sharded(GRAMS, 0, *spread(*counted[0]), shards))
                         counted, pending = [], 0
         if counted:
-            yield _record(sharded(GRAMS, 0, *spread(*added(*(np.concatenate(x) for x in zip(*counted, strict=True)))), shards))
+            yield _record(sharded(GRAMS, 0, *spread(*merged(counted)), shards))
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -260,7 +266,6 @@ def trie_file(gram_counts: DataFrame, rarest: float = RAREST) -> str:
     return uri
 
 
-@functools.lru_cache(maxsize=2)
 def opened(uri: str) -> eftrie.Trie:
     """The trie of a file, memory-mapped from a copy that is unlinked at once."""
     store, path = file_system(uri)
@@ -297,7 +302,7 @@ class Scorer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def scorer(uri: str) -> Scorer:
     return Scorer(opened(uri))
 
