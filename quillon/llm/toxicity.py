@@ -34,8 +34,8 @@ from quillon.llm.frames import keep
 #: At most so many labelled rows are learnt from.
 MAX_LABELLED = 5000
 FOLDS = 4
-#: Absolute discounts that are tried; 0 stands for the usual estimate.
-DISCOUNTS = (0.0, 2.0, 4.0)
+#: Absolute discounts that are tried, where they exceed the usual estimate.
+DISCOUNTS = (1.0, 2.0, 4.0)
 #: Words of an n-gram.
 ORDERS = (1, 2)
 #: Kinds of evidence that are tried: whole texts by exponent of the length, passages by words.
@@ -80,43 +80,44 @@ class Counts:
 class Ratios:
     """log P(word | context, toxic) - log P(word | context, ordinary), for one order and least absolute discount.
 
-    tables: hash tables of words, contexts and bigrams, which models of the same counts share.
+    Words, contexts and bigrams that the discount leaves to backoff have the ratio of unknown ones and are not held.
     """
 
-    def __init__(self, c: Counts, tables: tuple[tk.HashTable, tk.HashTable, tk.HashTable], order: int, least: float):
-        self.words = tables[0]
-        self.contexts, self.bigrams = tables[1:] if order > 1 else (None, None)
+    def __init__(self, c: Counts, order: int, least: float):
         pooled = c.word_pooled.astype(float)
         all_pooled = max(1.0, pooled.sum())
         d0 = discount(int((pooled == 1).sum()), int((pooled == 2).sum()))
         spare = d0 * len(pooled) / all_pooled if len(pooled) else 1.0
-        unknown = spare / (len(pooled) + 1)
-        shared = np.maximum(pooled - d0, 0) / all_pooled + unknown
+        shared = np.maximum(pooled - d0, 0) / all_pooled + spare / (len(pooled) + 1)
         types = c.word_types.astype(float)
-        p, p_unknown = np.empty((len(shared), 2)), np.empty(2)
+        kept, back = np.zeros((len(shared), 2)), np.ones(2)
         for k in (0, 1):
-            total = max(1.0, types[:, k].sum())
             d = max(least, discount(int((types[:, k] == 1).sum()), int((types[:, k] == 2).sum())))
-            kept = np.maximum(types[:, k] - d, 0) / total
-            back = 1 - kept.sum()
-            p[:, k] = kept + back * shared
-            p_unknown[k] = back * unknown
-        self.word_ratio = np.log(p[:, 1] / p[:, 0]).astype(np.float32)
-        self.unknown_ratio = np.float32(np.log(p_unknown[1] / p_unknown[0]))
+            kept[:, k] = np.maximum(types[:, k] - d, 0) / max(1.0, types[:, k].sum())
+            back[k] = 1 - kept[:, k].sum()
+        p = kept + back * shared[:, None]
+        told = kept.any(axis=1)
+        self.words, self.word_ratio = tk.HashTable(c.word[told]), np.log(p[told, 1] / p[told, 0]).astype(np.float32)
+        self.unknown_ratio = np.float32(np.log(back[1] / back[0]))
+        self.contexts = None
         if order > 1:
             # What discounts and pruned bigrams had goes to the backoff, so every context sums to one.
-            at = self.contexts.find(c.bigram_context)
+            by = np.argsort(c.context)
+            at = by[np.searchsorted(c.context, c.bigram_context, sorter=by)]
             over = np.maximum(c.bigram_n - np.maximum(c.discounts, least), 0)
-            kept = np.zeros(c.context_n.shape)
-            np.add.at(kept, at, over)
-            gamma = 1 - kept / np.maximum(c.context_n, 1)
-            full = over / np.maximum(c.context_n[at], 1) + gamma[at] * p[self.words.find(c.bigram_word)]
-            self.context_ratio = np.log(gamma[:, 1] / gamma[:, 0]).astype(np.float32)
-            self.bigram_ratio = np.log(full[:, 1] / full[:, 0]).astype(np.float32)
+            held = np.zeros(c.context_n.shape)
+            np.add.at(held, at, over)
+            gamma = 1 - held / np.maximum(c.context_n, 1)
+            of_word = np.argsort(c.word)
+            low = p[of_word[np.searchsorted(c.word, c.bigram_word, sorter=of_word)]]
+            full = over / np.maximum(c.context_n[at], 1) + gamma[at] * low
+            some, told = held.any(axis=1), over.any(axis=1)
+            self.contexts, self.context_ratio = tk.HashTable(c.context[some]), np.log(gamma[some, 1] / gamma[some, 0]).astype(np.float32)
+            self.bigrams, self.bigram_ratio = tk.HashTable(c.bigram[told]), np.log(full[told, 1] / full[told, 0]).astype(np.float32)
 
     def of(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         w = self.words.find(word)
-        low = np.where(w >= 0, self.word_ratio[w], self.unknown_ratio) if len(self.word_ratio) else np.zeros(len(word))
+        low = np.where(w >= 0, self.word_ratio[w], self.unknown_ratio) if len(self.word_ratio) else np.full(len(word), self.unknown_ratio)
         if self.contexts is None:
             return low
         h, b = self.contexts.find(context), self.bigrams.find(pair(context, word))
@@ -126,8 +127,7 @@ class Ratios:
 
 def all_ratios(c: Counts) -> list[Ratios]:
     """One for each order and discount."""
-    tables = tk.HashTable(c.word), tk.HashTable(c.context), tk.HashTable(c.bigram)
-    return [Ratios(c, tables, order, least) for order in ORDERS for least in DISCOUNTS]
+    return [Ratios(c, order, least) for order in ORDERS for least in DISCOUNTS]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -261,25 +261,27 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label: st
     tally = rows.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count("*").alias("all")).first()
     if not 0 < tally["ones"] < tally["all"]:
         return calibrated([], np.arange(tally["all"]) < tally["ones"])
-    sent = rows.sparkSession.sparkContext.broadcast([all_ratios(gathered.without(f)) for f in range(FOLDS)])
-    settings = len(ORDERS) * len(DISCOUNTS)
-
-    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x, y = [], []
+    for f in range(FOLDS):  # one model at a time is sent
+        sent = rows.sparkSession.sparkContext.broadcast(all_ratios(gathered.without(f)))
+        # At most `limit` rows and a few repeats; sorted, so that sums are the same each time.
+        got = rows.where(F.col("fold") == f).mapInArrow(_unseen(sent), "doc_id long, label int, x array<double>").orderBy("doc_id", "x").toArrow()
+        sent.destroy()
+        x.append(got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(ORDERS) * len(DISCOUNTS), len(EVIDENCE)))
+        y.append(_column(got, "label").astype(float))
+    x, y = np.concatenate(x), np.concatenate(y)
+    return calibrated([(r, x[:, j]) for j, r in enumerate(all_ratios(gathered.without(None)))], y)
+
+
+def _unseen(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fold = batch.column("fold").to_numpy()
-            for f in range(FOLDS):
-                own = batch.take(pa.array(np.flatnonzero(fold == f)))
-                for lo, hi, buf, off in tk.blocks(own.column("text")):
-                    x = np.concatenate([evidence(r, buf, off) for r in sent.value[f]], axis=1)
-                    listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id").slice(lo, hi - lo), own.column("label").slice(lo, hi - lo), listed], names=["doc_id", "label", "x"])
-
-    # At most `limit` rows and a few repeats; sorted, so that sums are the same each time.
-    got = rows.mapInArrow(unseen, "doc_id long, label int, x array<double>").orderBy("doc_id", "x").toArrow()
-    sent.unpersist()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, settings, len(EVIDENCE))
-    every = all_ratios(gathered.without(None))
-    return calibrated([(r, x[:, j]) for j, r in enumerate(every)], _column(got, "label").astype(float))
+            for lo, hi, buf, off in tk.blocks(batch.column("text")):
+                x = np.concatenate([evidence(r, buf, off) for r in sent.value], axis=1)
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), listed], names=["doc_id", "label", "x"])
+
+    return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
