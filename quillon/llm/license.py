@@ -288,8 +288,9 @@ FOUND = "array<struct<paragraph: int, family: string, probability: double, confi
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id and licences of every row: paragraph (line from 0), family, probability, whether a template confirms it, similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = rows.where("doc_id is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    sent = docs.sparkSession.sparkContext.broadcast(train([r["text"] for r in chosen.collect()]))  # bounded by the templates
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = rows.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text").collect()  # of `sample` ids
+    sent = docs.sparkSession.sparkContext.broadcast(train(sorted(r["text"] for r in chosen)))  # bounded by the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
