@@ -75,7 +75,7 @@ def clean_name(raw: Column | str) -> Column:
     x = F.coalesce(_col(raw), F.lit(""))
     x = F.trim(F.translate(F.replace(x, F.lit("\\"), F.lit("/")), "\x00", ""))
     x = F.regexp_replace(F.regexp_replace(x, "^[A-Za-z]:+", ""), "^/+", "")
-    parts = F.filter(F.transform(F.split(x, "/"), F.trim), lambda p: ~p.isin("", ".", ".."))
+    parts = F.filter(F.transform(F.split(x, "/"), lambda p: F.trim(p)), lambda p: ~p.isin("", ".", ".."))
     x = F.array_join(parts, "/")
     x = F.when(x == "", F.lit("payload.bin")).otherwise(x)
     return F.when(x.isin(c.INDEX_NAME, c.PADDING_NAME), F.concat(F.lit("payload/"), x, F.lit(".bin"))).otherwise(x)

@@ -20,16 +20,17 @@ CHUNK = 4096
 
 def prefix_sum(df: DataFrame, value: Column, name: str, order: str = "ord", chunk: int = CHUNK, levels: int = 2) -> DataFrame:
     """Adds the sum of value over all rows before, by a non-negative integer order; `levels` of chunks."""
-    df = df.withColumn("_value", value.cast("long")).withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
-    sums = df.groupBy("_chunk").agg(F.sum("_value").alias("_sum"))
+    value_, chunk_, sum_, own_, before_ = (f"_{x}{levels}" for x in ("value", "chunk", "sum", "own", "before"))
+    df = df.withColumn(value_, value.cast("long")).withColumn(chunk_, F.floor(F.col(order) / chunk).cast("long"))
+    sums = df.groupBy(chunk_).agg(F.sum(value_).alias(sum_))
     if levels > 1:
-        before = prefix_sum(sums, F.col("_sum"), "_before", "_chunk", chunk, levels - 1).select("_chunk", "_before")
+        before = prefix_sum(sums, F.col(sum_), before_, chunk_, chunk, levels - 1).select(chunk_, before_)
     else:
-        rows = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-        before = sums.select("_chunk", F.coalesce(F.sum("_sum").over(rows), F.lit(0)).alias("_before"))
-    own = W.partitionBy("_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0)))
-    return df.join(before, "_chunk").withColumn(name, F.col("_before") + F.col("_own")).drop("_chunk", "_value", "_before", "_own")
+        rows = W.orderBy(chunk_).rowsBetween(W.unboundedPreceding, -1)
+        before = sums.select(chunk_, F.coalesce(F.sum(sum_).over(rows), F.lit(0)).alias(before_))
+    own = W.partitionBy(chunk_).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn(own_, F.coalesce(F.sum(value_).over(own), F.lit(0)))
+    return df.join(before, chunk_).withColumn(name, F.col(before_) + F.col(own_)).drop(value_, chunk_, before_, own_)
 
 
 def index_payload_size(in_index: Column | None = None, name: str = "name") -> Column:
@@ -52,8 +53,8 @@ def plan_flat(entries: DataFrame, levels: int = 2, chunk: int = CHUNK) -> DataFr
 
 def plan(entries: DataFrame, levels: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Entries of an archive whose index holds those with in_index."""
-    size = entries.agg(index_payload_size(F.col("in_index")).alias("_index"))
-    return plan_from(entries.crossJoin(F.broadcast(size)), c.INDEX_LFH + F.col("_index"), levels, chunk).drop("_index")  # one row
+    size = entries.agg(index_payload_size(F.col("in_index"))).scalar()
+    return plan_from(entries, c.INDEX_LFH + size, levels, chunk)
 
 
 def directory_size(name: str = "name") -> Column:
@@ -91,7 +92,7 @@ def segments(planned: DataFrame, index_size: int) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.lit("central directory").alias("label"), F.lit("cd").alias("kind"), F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end")),
-                F.struct(F.lit("end of central directory"), F.lit("eocd"), F.col("at") + F.col("size"), F.col("at") + F.col("size") + c.EOCD_FIXED),
+                F.struct(F.lit("end of central directory").alias("label"), F.lit("eocd").alias("kind"), (F.col("at") + F.col("size")).alias("start"), (F.col("at") + F.col("size") + c.EOCD_FIXED).alias("end")),
             )
         )
     )
