@@ -75,7 +75,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         F.transform(
             blocks,
             lambda b: F.transform(
-                F.split(F.substring_index(b, ">", -1), NEXT, -1),
+                F.split(F.substr(b, F.instr(b, ">") + 1), NEXT, -1),
                 lambda x: F.struct(unescape(F.substring_index(F.substr(b, F.lit(7)), ">", 1)).alias("role"), unescape(x).alias("text")),
             ),
         )
