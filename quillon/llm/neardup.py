@@ -63,7 +63,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.n
     n = len(h)
     roll = np.zeros(max(0, n - k + 1), np.uint64)
     for j in range(k):
-        roll += h[j : n - k + 1 + j] * _ODD[j]
+        roll += h[j : j + len(roll)] * _ODD[j]
     whole = np.repeat(at[1:], size)[: len(roll)] >= np.arange(len(roll)) + k
     few = np.flatnonzero((size > 0) & (size < k))
     single = np.zeros(len(few), np.uint64)
