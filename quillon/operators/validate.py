@@ -93,7 +93,7 @@ def input_faults(rows: DataFrame) -> DataFrame:
     """Everything a flat archive's input rows may break before files are looked at."""
     n = rows.agg(F.count("*").alias("n")).where("n = 0")
     empty = faults(n, "INVALID_NAME", "the input table is empty")
-    return union(null_faults(rows), name_faults(rows), duplicate_faults(rows), empty)
+    return union(null_faults(rows), name_faults(rows.where("name is not null")), duplicate_faults(rows), empty)
 
 
 def entry_faults(rows: DataFrame, reserved: tuple[str, ...] = c.RESERVED_NAMES) -> DataFrame:
