@@ -32,7 +32,7 @@ from quillon.llm import textkit as tk
 from quillon.llm.frames import keep
 
 #: At most so many labelled rows are learnt from.
-MAX_LABELLED = 5000
+MAX_LABELLED = 4000
 FOLDS = 4
 #: Absolute discounts that are tried, where they exceed the usual estimate.
 DISCOUNTS = (1.0, 2.0, 4.0)
