@@ -44,7 +44,7 @@ BLOCK_BYTES = 2 << 20
 #: Bytes that no word has.
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
-CACHE_BITS = 20
+CACHE_BITS = 21
 #: n-grams that a task holds before it adds them up, and that it may hold on to after that.
 MOST_PENDING, MOST_HELD = 2_000_000, 1_300_000
 
