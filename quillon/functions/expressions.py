@@ -110,6 +110,13 @@ def name_fault(name: Column | str) -> Column:
     )
 
 
+def encoding_guess(raw: Column | str) -> Column:
+    """Of a name's bytes: ascii, utf-8, or cp437 for what is neither."""
+    x = _col(raw)
+    text = x.cast("string")
+    return F.when(F.hex(x).rlike("^([0-7].)*$"), "ascii").when(F.is_valid_utf8(text), "utf-8").otherwise("cp437")
+
+
 def basename(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 

@@ -296,3 +296,13 @@ def test_crc_and_hash():
         assert codec.crc_combined([(zlib.crc32(a), len(a)), (zlib.crc32(b), len(b))]) == zlib.crc32(a + b)
     assert codec.fnv1a64(b"") == c.FNV_BASIS and codec.fnv1a64(b"ab") == codec.fnv1a64(b"b", codec.fnv1a64(b"a")) == fnv(b"ab")
     assert codec.hash_ranges(100, 40000) == [(51, 151), (7232, 40000)] and codec.hash_ranges(8000, 40000) == [(51, 40000)]
+
+
+def test_table_function(spark, archive):
+    from quillon.sources import tablefunctions
+
+    tablefunctions.register(spark)
+    rows = spark.sql(f"select * from read_archive('{archive}') where name like '%.bin' order by size desc limit 5").collect()
+    assert rows[0]["category"] == "binary" and rows[0]["cozip:gdal_vsi"].startswith("/vsisubfile/258_40960,")
+    assert spark.sql(f"select * from read_archive('{archive}', false)").columns == ["name", "offset", "size", "category"]
+    assert list(tablefunctions.path_batches(reader.read(spark, archive), 1)) == [[f"/vsisubfile/127_96,{archive}"], [f"/vsisubfile/258_40960,{archive}"]]

@@ -129,3 +129,31 @@ def test_paths(spark):
     assert x.vsi_base_dir("/d/INDEX.parquet") == "/d/" and x.vsi_base_dir("/INDEX.parquet") == "/"
     got = [one(spark, x.vsi_store(F.lit(u))) for u in ("s3://b/k", "http://h/k", "/local", "gs://b/k")]
     assert got == ["/vsis3/b/k", "/vsicurl/http://h/k", "/local", "/vsigs/b/k"]
+
+
+def test_unique_names(spark):
+    import random
+
+    from quillon.operators import names
+
+    def slow(rows):
+        seen, out = set(), []
+        for n in rows:
+            k, cand = 2, n
+            while cand in seen:
+                cand, k = names.add_suffix(n, k), k + 1
+            seen.add(cand)
+            out.append(cand)
+        return out
+
+    r = random.Random(3)
+    pool = ["a.txt", "a-2.txt", "a-2-2.txt", "d/a.txt", "d/a-3.txt", "x", "x-2", ".h", "b.tar.gz", "q-1/b.txt"]
+    rows = [r.choice(pool) for _ in range(200)] + ["plain.bin"] * 5
+    df = spark.createDataFrame(list(enumerate(rows)), "ord long, name string").repartition(4)
+    got = {x["ord"]: x["unique_name"] for x in names.unique_names(df).collect()}
+    assert [got[k] for k in range(len(rows))] == slow(rows)
+
+
+def test_encoding_guess(spark):
+    got = [one(spark, x.encoding_guess(F.lit(bytearray(b)))) for b in (b"abc", "é".encode(), b"\x82\xff", b"")]
+    assert got == ["ascii", "utf-8", "cp437", "ascii"]
