@@ -183,25 +183,42 @@ class Trie:
         out[live[there]] = at[there]
         return out
 
+    def nodes(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """Places at level k of distinct ascending k-grams; every shared prefix is gone down once."""
+        if not k:
+            return np.zeros(len(grams), np.int64)
+        above, back = distinct(grams >> np.uint64(8))
+        return self.down(k - 1, self.nodes(k - 1, above)[back], (grams & np.uint64(255)).astype(np.int64))
+
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 P(last symbol | those before) of n-grams of the full order, as big-endian integers."""
         out = np.full(len(grams), self.floor)
         todo, weight = np.arange(len(grams)), np.zeros(len(grams))
         for size in range(self.order, 0, -1):
-            g = grams[todo]
-            node = np.zeros(len(g), np.int64)
-            for j in range(size - 1):
-                node = self.down(j, node, (g >> np.uint64(8 * (size - 1 - j)) & np.uint64(255)).astype(np.int64))
-            last = self.down(size - 1, node, (g & np.uint64(255)).astype(np.int64))
+            own, back = np.unique(grams[todo] & np.uint64((1 << 8 * size) - 1), return_inverse=True)
+            contexts, of = distinct(own >> np.uint64(8))
+            node = self.nodes(size - 1, contexts)[of]
+            last = self.down(size - 1, node, (own & np.uint64(255)).astype(np.int64))
             p, p_scale, _, _ = self.codes[size - 1]
             found = last >= 0
-            out[todo[found]] = weight[todo[found]] + restored(p[last[found]], p_scale)
-            lost = ~found
+            value = np.zeros(len(own))
+            value[found] = restored(p[last[found]], p_scale)
             if size > 1:
                 _, _, bow, bow_scale = self.codes[size - 2]
-                seen = lost & (node >= 0)
-                weight[todo[seen]] += restored(bow[node[seen]], bow_scale)
+                seen = ~found & (node >= 0)
+                value[seen] = restored(bow[node[seen]], bow_scale)
             else:
-                out[todo[lost]] = weight[todo[lost]] + self.floor
-            todo = todo[lost]
+                value[~found] = self.floor
+            weight[todo] += value[back]
+            done = found[back] | (size == 1)
+            out[todo[done]] = weight[todo[done]]
+            todo = todo[~done]
         return out
+
+
+def distinct(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and for each element the place of its own."""
+    if not len(ascending):
+        return ascending, np.zeros(0, np.int64)
+    new = np.append(True, ascending[1:] != ascending[:-1])
+    return ascending[new], np.cumsum(new) - 1
