@@ -1,9 +1,9 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 A text is its sequence of lower-cased words and one end.  The model spells it: bytes of the words with one space between
-words and an end symbol, each given the five symbols before it (fewer at the start, which is padded), so rare
+words and an end symbol, each given the six symbols before it (fewer at the start, which is padded), so rare
 and unseen words have probabilities too and the probabilities of all sequences sum to at most one.  Probabilities are
-Witten-Bell interpolations (with `BACKOFF` times the types) of 6-gram to 1-gram counts over all training texts.  n-grams rarer than
+Witten-Bell interpolations (with `BACKOFF` times the types) of 7-gram to 1-gram counts over all training texts.  n-grams rarer than
 `RAREST` of all symbols are left to backoff, so a level has at most 1 / RAREST n-grams however large the corpus
 is; the trie (see eftrie) is one file in the shared folder, memory-mapped by every worker.
 
@@ -35,9 +35,9 @@ from quillon.llm import textkit as tk
 from quillon.llm.frames import keep, shared_dir, shuffle_width
 from quillon.llm.warc import file_system
 
-ORDER = 6
+ORDER = 7
 #: A context's types count so many times in the weight of the shorter context.
-BACKOFF = 4
+BACKOFF = 6
 #: Least share of all symbols for an n-gram of the trie.
 RAREST = 2.0**-25
 BLOCK_BYTES = 2 << 20
@@ -126,12 +126,19 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
-    """A row for each shard that has keys; keys ascend."""
-    edge = np.searchsorted(shards_of(keys, shards), np.arange(shards + 1))
+def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple]:
+    """A row for each shard that has keys; keys ascend within an ascending shard."""
+    edge = np.searchsorted(shard, np.arange(shards + 1))
     return [(kind, block, s, None, None, press(gaps(keys[a:b])), press(n[a:b].astype(np.int64))) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
 
 
+def gram_rows(keys: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
+    """n-grams are dealt by hash, as some shards of their own order would be far larger; within a shard their gaps compress well."""
+    shard = shards_of(tk.mix(keys), shards)
+    order = np.argsort(shard, kind="stable")
+    return sharded(GRAMS, 0, keys[order], n[order], shard[order], shards)
+
+
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
     """Blocks of spelled texts, their words by shard, and counts of n-grams by shard. docs: doc_id, text, held."""
 
@@ -149,7 +156,7 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                 words, place = np.unique(h, return_inverse=True)
                 n = np.bincount(place[own], minlength=len(words)).astype(np.int64)
                 rows = [(META, block, -1, batch.column("doc_id").slice(lo, hi - lo).to_pylist(), held[lo:hi].tolist(), press(data), press(at))]
-                yield _record(rows + sharded(WORDS, block, words, n, shards))
+                yield _record(rows + sharded(WORDS, block, words, n, shards_of(words, shards), shards))
                 for a, b in row_ranges(at):
                     key, key_at = grams(data[at[a] : at[b]], at[a : b + 1] - at[a])
                     key = np.sort(key[np.repeat(learnt[a:b], np.diff(key_at))])
@@ -160,28 +167,14 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                     counted = [merged(counted)]
                     pending = len(counted[0][0])
                     if pending > MOST_HELD:
-                        yield _record(sharded(GRAMS, 0, *spread(*counted[0]), shards))
+                        yield _record(gram_rows(*counted[0], shards))
                         counted, pending = [], 0
         if counted:
-            yield _record(sharded(GRAMS, 0, *spread(*merged(counted)), shards))
+            yield _record(gram_rows(*merged(counted), shards))
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def spread(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams hashed for even shards, ascending by hash; mix is undone by unspread."""
-    h = tk.mix(keys)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def unspread(h: np.ndarray) -> np.ndarray:
-    """The inverse of textkit.mix."""
-    for c in (pow(0xC4CEB9FE1A85EC53, -1, 1 << 64), pow(0xFF51AFD7ED558CCD, -1, 1 << 64)):
-        h = (h ^ h >> np.uint64(33)) * np.uint64(c)
-    return h ^ h >> np.uint64(33)
-
-
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
     """Rows sorted by shard -> all rows of a shard: (shard, block, keys, n)."""
     held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
@@ -208,7 +201,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in by_shard(batches):
         keys, n = added(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
-        keys = unspread(keys)
         for a in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "n"])
 

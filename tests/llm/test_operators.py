@@ -217,8 +217,8 @@ def test_lm_probabilities_sum_to_one(spark):
     counts = lm.keep(table.where(F.col("kind") == lm.GRAMS).repartition(4, "shard").sortWithinPartitions("shard", "block").mapInArrow(lm._gram_counts, "key long, n long"), "g")
     for rarest in (0.0, 1e-3):
         trie = lm.opened(lm.trie_file(counts, rarest))
-        assert rarest == 0 or trie.child[5].n < counts.count()
-        for context in (b"\n\n\n\n\n", b"\n\n\n\na", b"abcde", b"\xff\xff\xff\xff\xff", b" a b "):
+        assert rarest == 0 or trie.child[-1].n < counts.count()
+        for context in (b"\n" * (lm.ORDER - 1), b"\n" * (lm.ORDER - 2) + b"a", b"abcdeabcde"[: lm.ORDER - 1], b"\xff" * (lm.ORDER - 1), b" a b  a b "[: lm.ORDER - 1]):
             symbols = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
             total = (10 ** trie.log10(symbols)).sum()
             assert 0.97 < total < 1.001
