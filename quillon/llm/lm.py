@@ -1,9 +1,9 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 A text is its sequence of lower-cased words and one end.  The model spells it: bytes of the words with one space between
-words and an end symbol, each given the six symbols before it (fewer at the start, which is padded), so rare
+words and an end symbol, each given the five symbols before it (fewer at the start, which is padded), so rare
 and unseen words have probabilities too and the probabilities of all sequences sum to at most one.  Probabilities are
-Witten-Bell interpolations (with `BACKOFF` times the types) of 7-gram to 1-gram counts over all training texts.  n-grams rarer than
+Witten-Bell interpolations (with `BACKOFF` times the types) of 6-gram to 1-gram counts over all training texts.  n-grams rarer than
 `RAREST` of all symbols are left to backoff, so a level has at most 1 / RAREST n-grams however large the corpus
 is; the trie (see eftrie) is one file in the shared folder, memory-mapped by every worker.
 
@@ -35,7 +35,7 @@ from quillon.llm import textkit as tk
 from quillon.llm.frames import keep, shared_dir, shuffle_width
 from quillon.llm.warc import file_system
 
-ORDER = 7
+ORDER = 6
 #: A context's types count so many times in the weight of the shorter context.
 BACKOFF = 6
 #: Least share of all symbols for an n-gram of the trie.
@@ -44,7 +44,7 @@ BLOCK_BYTES = 2 << 20
 #: Bytes that no word has.
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
-CACHE_BITS = 21
+CACHE_BITS = 22
 #: n-grams that a task holds before it adds them up, and that it may hold on to after that.
 MOST_PENDING, MOST_HELD = 2_000_000, 1_300_000
 
@@ -270,28 +270,41 @@ def opened(uri: str) -> eftrie.Trie:
 
 
 class Scorer:
-    """log10 probabilities of n-grams, with a direct-mapped cache before the trie."""
+    """log10 probabilities of n-grams, with a direct-mapped cache before the trie: a tag and a value for each slot.
+
+    An n-gram's 8 * ORDER bits are permuted; the upper ones are its slot and the others its tag, so a hit is certain.
+    """
 
     def __init__(self, trie: eftrie.Trie):
         self.trie = trie
-        self.keys = np.full(1 << CACHE_BITS, ~np.uint64(0), np.uint64)
-        self.values = np.zeros(1 << CACHE_BITS)
+        self.bits = 8 * trie.order
+        if not CACHE_BITS < self.bits < CACHE_BITS + 32:
+            raise ValueError(f"tags of {self.bits - CACHE_BITS} bits")
+        self.tags = np.zeros(1 << CACHE_BITS, np.uint32)
+        self.values = np.zeros(1 << CACHE_BITS, np.float32)
+
+    def place(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every, half = np.uint64((1 << self.bits) - 1), np.uint64(self.bits // 2)
+        x = grams_ * np.uint64(0x9E3779B97F4A7C15) & every
+        x ^= x >> half
+        x = x * np.uint64(0xC2B2AE3D27D4EB4F) & every
+        x ^= x >> half
+        rest = self.bits - CACHE_BITS
+        return (x >> np.uint64(rest)).astype(np.int64), (x & np.uint64((1 << rest) - 1)).astype(np.uint32) + np.uint32(1)
 
     def of(self, grams_: np.ndarray) -> np.ndarray:
-        slot = (tk.mix(grams_) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        slot, tag = self.place(grams_)
         out = self.values[slot]
-        lost = np.flatnonzero(self.keys[slot] != grams_)
+        lost = np.flatnonzero(self.tags[slot] != tag)
         if len(lost):
             new, back = np.unique(grams_[lost], return_inverse=True)
-            p = self.trie.log10(new)
+            p = self.trie.log10(new).astype(np.float32)
             out[lost] = p[back]
-            self.keys[slot[lost]] = grams_[lost]
-            order = np.argsort(slot[lost], kind="stable")  # of several keys with one slot the last stays, as above
-            at = slot[lost][order]
-            last = np.append(at[1:] != at[:-1], True)
-            self.keys[at[last]] = grams_[lost][order][last]
-            self.values[at[last]] = out[lost][order][last]
-        return out
+            slot, tag = self.place(new)
+            last = np.zeros(len(new), bool)  # one of several n-grams of a slot stays
+            last[np.unique(slot, return_index=True)[1]] = True
+            self.tags[slot[last]], self.values[slot[last]] = tag[last], p[last]
+        return out.astype(float)
 
 
 @functools.lru_cache(maxsize=1)
