@@ -43,7 +43,7 @@ COLLECTION_NAME = "COLLECTION.json"
 LEVEL_DIR = "METADATA/"
 VSI_COLUMN = "cozip:gdal_vsi"
 PADDING_BYTE = 0x5A
-PROFILES = {0: "none", 1: "flat", 2: "taco"}
+PROFILES = {0: "none", 1: "flat", 2: "levels"}
 PROFILE_CODES = {name: code for code, name in PROFILES.items()}
 RESERVED_NAMES = (INDEX_NAME, PADDING_NAME, MANIFEST_NAME)
 RESERVED_COLUMNS = ("offset", "size")

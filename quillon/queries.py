@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("@index", c.INDEX_NAME).replace("@padding", c.PADDING_NAME).replace("@manifest", c.MANIFEST_NAME)
         return f
 
     return add
@@ -223,13 +223,13 @@ def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), name.alias("name"), F.lit("p").alias("path"), x.byte_length("text").alias("size"))
 
 
-ODD = r"""with o as (select doc_id as ord, case doc_id % 12 when 1 then '/' || n when 2 then 'C:' || n when 3 then n || '/../x' when 4 then '' when 5 then '__cozip__'
+ODD = r"""with o as (select doc_id as ord, case doc_id % 12 when 1 then '/' || n when 2 then 'C:' || n when 3 then n || '/../x' when 4 then '' when 5 then '@index'
   when 6 then n || '\y' when 7 then null when 8 then 'é/' || n else n end as name from (select doc_id, 'DATA/' || cast(doc_id // 3 as varchar) as n from documents))"""
 
 
 @query(ODD + r""" select ord, name, case when name is null or name = '' then 'empty' when name like '/%' then 'leading slash' when regexp_matches(name, '^[A-Za-z]:') then 'drive letter'
-  when contains(name, '\') then 'backslash' when regexp_matches(name, '(^|/)\.\.?(/|$)') then 'dot component' when name = '__cozip__' then 'reserved' end as fault from o
-  where name is null or name = '' or name like '/%' or regexp_matches(name, '^[A-Za-z]:') or contains(name, '\') or regexp_matches(name, '(^|/)\.\.?(/|$)') or name = '__cozip__'""")
+  when contains(name, '\') then 'backslash' when regexp_matches(name, '(^|/)\.\.?(/|$)') then 'dot component' when name = '@index' then 'reserved' end as fault from o
+  where name is null or name = '' or name like '/%' or regexp_matches(name, '^[A-Za-z]:') or contains(name, '\') or regexp_matches(name, '(^|/)\.\.?(/|$)') or name = '@index'""")
 def validate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = validate.name_faults(odd_names(spark, sf_dir))
     return found.select("ord", "name", F.substr("detail", F.lit(7)).alias("fault"))
@@ -240,7 +240,7 @@ def validate_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.duplicate_faults(odd_names(spark, sf_dir)).select("ord", "name")
 
 
-@query(ODD + " select ord, name, 'reserved name' as detail from o where name in ('__cozip__', '__cozip_padding__', '__metadata__')")
+@query(ODD + " select ord, name, 'reserved name' as detail from o where name in ('@index', '@padding', '@manifest')")
 def validate_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.reserved_faults(odd_names(spark, sf_dir)).select("ord", "name", "detail")
 
@@ -340,9 +340,9 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
 
 
-RAW = r"""with r as (select p_partkey, case p_partkey % 6 when 0 then 'C:\x\' || p_name when 1 then '//a/./' || p_name || '/..' when 2 then ' / .. /' when 3 then 'q/ ' || p_name || ' /z.tif' when 4 then '__cozip__' else p_name end as raw from part),
+RAW = r"""with r as (select p_partkey, case p_partkey % 6 when 0 then 'C:\x\' || p_name when 1 then '//a/./' || p_name || '/..' when 2 then ' / .. /' when 3 then 'q/ ' || p_name || ' /z.tif' when 4 then '@index' else p_name end as raw from part),
 k as (select p_partkey, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(replace(raw, '\', '/')), '^[A-Za-z]:+', ''), '^/+', ''), '/'), lambda p: trim(p)), lambda p: p not in ('', '.', '..')), '/') as n from r),
-cl as (select p_partkey, case when n = '' then 'payload.bin' when n in ('__cozip__', '__cozip_padding__') then 'payload/' || n || '.bin' else n end as clean from k)"""
+cl as (select p_partkey, case when n = '' then 'payload.bin' when n in ('@index', '@padding') then 'payload/' || n || '.bin' else n end as clean from k)"""
 
 
 @query(RAW + " select p_partkey, clean, replace(clean, '/', '-') as download from cl")
@@ -403,7 +403,7 @@ def dos_datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select doc_id, case doc_id % 103 when 0 then 'OK' when 1 then 'INVALID_LFH' when 2 then 'ARCHIVE_TOO_SMALL' when 100 then 'INVALID_ARGUMENT' when 101 then 'BUFFER_TOO_SMALL' when 102 then 'IO' else 'UNKNOWN' end as status,
-  case doc_id % 4 when 0 then 'none' when 1 then 'flat' when 2 then 'taco' else 'reserved' end as profile from documents""")
+  case doc_id % 4 when 0 then 'none' when 1 then 'flat' when 2 then 'levels' else 'reserved' end as profile from documents""")
 def code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", x.status_name(F.col("doc_id") % 103).alias("status"), x.profile_name(F.col("doc_id") % 4).alias("profile"))
 

@@ -84,7 +84,7 @@ class Dataset:
             self.opened = io.Source(source)
             self.index = io.bootstrap(self.opened)
             files = [n for n, _, _ in self.index.entries]
-            if self.index.profile != c.PROFILE_CODES["taco"]:
+            if self.index.profile != c.PROFILE_CODES["levels"]:
                 raise ArchiveError("UNKNOWN_PROFILE", f"{source} has the profile {self.index.profile}")
             if c.COLLECTION_NAME not in files:
                 raise ArchiveError("MISSING_ENTRY", f"{source} has no {c.COLLECTION_NAME}")

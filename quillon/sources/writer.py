@@ -131,7 +131,7 @@ def write_parts(planned: DataFrame, folder: str, partitions: int | None = None)
 def write_archive(entries: DataFrame, out: str, profile: str = "none", manifest: bytes | None = None, partitions: int | None = None) -> str:
     """Write an archive from ord, name, size, in_index and path or data; returns its absolute path.
 
-    flat: entries and then the manifest, which alone is in the index.  taco: COLLECTION.json and METADATA/*.parquet come last and are in
+    flat: entries and then the manifest, which alone is in the index.  levels: COLLECTION.json and METADATA/*.parquet come last and are in
     the index.  A padding entry brings small archives to the least size.
     """
     spark: SparkSession = entries.sparkSession
@@ -139,7 +139,7 @@ def write_archive(entries: DataFrame, out: str, profile: str = "none", manifest:
     folder = f"{out}.parts-{uuid.uuid4().hex}"
     os.makedirs(folder)
     try:
-        if profile == "taco":
+        if profile == "levels":
             priority = (F.col("name") == c.COLLECTION_NAME) | (F.col("name").startswith(c.LEVEL_DIR) & F.col("name").endswith(".parquet"))
             entries = entries.withColumn("in_index", priority)
             span = (entries.agg(F.max("ord")).first()[0] or 0) + 1
@@ -168,7 +168,7 @@ def write_archive(entries: DataFrame, out: str, profile: str = "none", manifest:
         lack = c.LEAST_ARCHIVE - (end + cd + c.EOCD_FIXED)
         pad = max(lack - c.PADDING_COST, 1) if lack > 0 else 0
         if pad and profile != "flat":
-            at = span if profile == "taco" else (entries.agg(F.max("ord")).first()[0] or 0) + 1
+            at = span if profile == "levels" else (entries.agg(F.max("ord")).first()[0] or 0) + 1
             row = spark.createDataFrame([(at, c.PADDING_NAME, bytes([c.PADDING_BYTE]) * pad, pad, False)], "ord long, name string, data binary, size long, in_index boolean")
             entries = entries.unionByName(row, allowMissingColumns=True)
             plan, index, end, cd = planned_with(entries)

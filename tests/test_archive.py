@@ -51,7 +51,7 @@ def entries(spark, n, size=100, profile_names=None):
 
 def check_archive(path):
     raw = open(path, "rb").read()
-    assert raw[:4] == b"PK\x03\x04" and raw[30:39] == b"__cozip__" and raw[-22:-18] == b"PK\x05\x06" and raw[-2:] == b"\x00\x00"
+    assert raw[:4] == b"PK\x03\x04" and raw[30:39] == c.INDEX_NAME.encode() and raw[-22:-18] == b"PK\x05\x06" and raw[-2:] == b"\x00\x00"
     assert len(raw) >= 32819
     size = struct.unpack_from("<I", raw, 18)[0]
     stored = struct.unpack_from("<Q", raw, 43)[0]
@@ -67,8 +67,8 @@ def check_archive(path):
 def test_flat_archive(spark, archive, files):
     raw = check_archive(archive)
     index = codec.parse_index(raw[51 : 51 + struct.unpack_from("<I", raw, 18)[0]], len(raw))
-    assert index.profile == 1 and [n for n, _, _ in index.entries] == ["__metadata__"]
-    o, s = index.find("__metadata__")
+    assert index.profile == 1 and [n for n, _, _ in index.entries] == [c.MANIFEST_NAME]
+    o, s = index.find(c.MANIFEST_NAME)
     manifest = pq.read_table(io.BytesIO(raw[o : o + s]))
     assert manifest.schema.names == ["name", "offset", "size", "category"]
     assert manifest.schema.field("offset").type == pa.uint64() and manifest.schema.metadata[b"geo"]
@@ -81,8 +81,8 @@ def test_flat_archive(spark, archive, files):
 def test_read_back(spark, archive):
     df = reader.read(spark, archive)
     rows = {r["name"]: r for r in df.collect()}
-    assert rows["a.txt"]["cozip:gdal_vsi"] == f"/vsisubfile/127_96,{archive}"
-    assert "cozip:gdal_vsi" not in reader.read(spark, archive, gdal_vsi=False).columns
+    assert rows["a.txt"][c.VSI_COLUMN] == f"/vsisubfile/127_96,{archive}"
+    assert c.VSI_COLUMN not in reader.read(spark, archive, gdal_vsi=False).columns
     plan = df.where("size > 1000").select("name")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(size), GreaterThan(size" in plan
     reader.create_view(spark, "m", archive)
@@ -93,14 +93,14 @@ def test_small_archives_are_padded_and_readable(spark, files):
     df = spark.createDataFrame([(0, "a.txt", str(files / "small.txt"))], "ord long, name string, path string")
     path = writer.create(str(files / "small.zip"), df)
     raw = check_archive(path)
-    assert len(raw) < 65536 and "__cozip_padding__" in zipfile.ZipFile(path).namelist()
+    assert len(raw) < 65536 and c.PADDING_NAME in zipfile.ZipFile(path).namelist()
     assert reader.read(spark, path).count() == 1
 
 
 def test_catalog(spark, archive, files):
     pq.write_table(pa.table({"name": ["a"], "offset": pa.array([1], pa.uint64()), "size": pa.array([2], pa.uint64()), "shard": ["x.zip"]}), files / "INDEX.parquet")
     row = reader.read(spark, str(files / "INDEX.parquet")).first()
-    assert row["cozip:gdal_vsi"] == f"/vsisubfile/1_2,{files}/x.zip"
+    assert row[c.VSI_COLUMN] == f"/vsisubfile/1_2,{files}/x.zip"
     with pytest.raises(ValueError):
         reader.read(spark, str(files / "small.txt"))
 
@@ -112,10 +112,10 @@ def test_none_and_hierarchical_profiles(spark, files):
     got = reader.priority_files(path)
     assert got == {f"DATA/é{i}.bin": bytes([i]) * (3000 + i) for i in range(0, 20, 2)}
     names = lambda i: "COLLECTION.json" if i == 1 else f"METADATA/l{i}.parquet" if i < 4 else f"DATA/{i}"
-    path = writer.write_archive(entries(spark, 9, 10, names), str(files / "levels.zip"), "taco")
+    path = writer.write_archive(entries(spark, 9, 10, names), str(files / "levels.zip"), "levels")
     raw = check_archive(path)
     order = [n for n, _ in sorted(((i.filename, i.header_offset) for i in zipfile.ZipFile(path).infolist()), key=lambda t: t[1])]
-    assert order[-5:] == ["__cozip_padding__", "METADATA/l0.parquet", "COLLECTION.json", "METADATA/l2.parquet", "METADATA/l3.parquet"]
+    assert order[-5:] == [c.PADDING_NAME, "METADATA/l0.parquet", "COLLECTION.json", "METADATA/l2.parquet", "METADATA/l3.parquet"]
     assert codec.parse_index(raw[51 : 51 + struct.unpack_from("<I", raw, 18)[0]]).profile == 2
 
 
@@ -131,7 +131,7 @@ def test_data_source_views(spark, archive):
     seg = sorted((r["start"], r["end"]) for r in view("segments").collect())
     assert seg[0][0] == 0 and seg[-1][1] == os.path.getsize(archive) and all(a[1] == b[0] for a, b in zip(seg, seg[1:]))
     spark.sql(f"create or replace temporary view i using quillon options (path '{archive}', view 'index')")
-    assert spark.sql("select name from i").first()[0] == "__metadata__"
+    assert spark.sql("select name from i").first()[0] == c.MANIFEST_NAME
 
 
 @pytest.mark.parametrize(
@@ -198,7 +198,7 @@ def test_plan_write_scan_agree(spark, tmp_path_factory, items):
 def test_bad_inputs(spark, table, files, archive):
     make = lambda rows, schema="ord long, name string, path string": writer.create(str(files / "bad.zip"), spark.createDataFrame(rows, schema))
     p = str(files / "small.txt")
-    for rows, said in (([(0, "x", p), (1, "x", p)], "duplicate"), ([(0, "__metadata__", p)], "reserved"), ([(0, "../x", p)], "dot"), ([(0, None, p)], "null"), ([], "empty")):
+    for rows, said in (([(0, "x", p), (1, "x", p)], "duplicate"), ([(0, c.MANIFEST_NAME, p)], "reserved"), ([(0, "../x", p)], "dot"), ([(0, None, p)], "null"), ([], "empty")):
         with pytest.raises(ArchiveError, match=said):
             make(rows)
     with pytest.raises(ValueError, match="reserved"):
@@ -252,7 +252,7 @@ def test_http_ranges(spark, archive, files):
         source = qio.Source(url)
         qio.bootstrap(source)
         assert source.requests == 1
-        assert reader.read(spark, url).where("name = 'a.txt'").first()["cozip:gdal_vsi"] == f"/vsisubfile/127_96,/vsicurl/{url}"
+        assert reader.read(spark, url).where("name = 'a.txt'").first()[c.VSI_COLUMN] == f"/vsisubfile/127_96,/vsicurl/{url}"
         server.shutdown()
 
 
@@ -261,7 +261,7 @@ def test_dataset(spark, files):
     out = io.BytesIO()
     pq.write_table(sample, out)
     rows = [(0, "DATA/0/x", b"x" * 9), (1, "METADATA/sample.parquet", out.getvalue()), (2, "COLLECTION.json", json.dumps({"id": "d"}).encode())]
-    path = writer.write_archive(writer.entries_of(spark.createDataFrame(rows, "ord long, name string, data binary"), "data"), str(files / "h.zip"), "taco")
+    path = writer.write_archive(writer.entries_of(spark.createDataFrame(rows, "ord long, name string, data binary"), "data"), str(files / "h.zip"), "levels")
     assert reader.Dataset(spark, path).collection == {"id": "d"}
     assert reader.read_dataset(spark, path, idx=0).count() == 2 and reader.read_dataset(spark, path, idx=(0, 2)).count() == 3
     wide = {r["parent_id"]: r for r in reader.read_dataset(spark, path, pivot=True).collect()}
@@ -283,7 +283,7 @@ def test_catalog_stream(spark, files):
         append_catalog(shard_stream(spark, str(files / "in"), schema, "/d/"), str(files / "cat"), str(files / "ck")).awaitTermination()
         got = spark.read.parquet(str(files / "cat"))
         assert got.count() == k
-    assert {r["cozip:gdal_vsi"] for r in got.collect()} == {"/vsisubfile/1_1,/d/s1.zip", "/vsisubfile/2_2,/d/s2.zip"}
+    assert {r[c.VSI_COLUMN] for r in got.collect()} == {"/vsisubfile/1_1,/d/s1.zip", "/vsisubfile/2_2,/d/s2.zip"}
 
 
 def test_crc_and_hash():
@@ -303,6 +303,6 @@ def test_table_function(spark, archive):
 
     tablefunctions.register(spark)
     rows = spark.sql(f"select * from read_archive('{archive}') where name like '%.bin' order by size desc limit 5").collect()
-    assert rows[0]["category"] == "binary" and rows[0]["cozip:gdal_vsi"].startswith("/vsisubfile/258_40960,")
+    assert rows[0]["category"] == "binary" and rows[0][c.VSI_COLUMN].startswith("/vsisubfile/258_40960,")
     assert spark.sql(f"select * from read_archive('{archive}', false)").columns == ["name", "offset", "size", "category"]
     assert list(tablefunctions.path_batches(reader.read(spark, archive), 1)) == [[f"/vsisubfile/127_96,{archive}"], [f"/vsisubfile/258_40960,{archive}"]]

@@ -44,7 +44,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("raw", "clean"),
-    [("C:\\a\\..\\b", "a/b"), ("//x//y", "x/y"), (" . / .. ", "payload.bin"), (None, "payload.bin"), ("__cozip__", "payload/__cozip__.bin"), ("a\x00b", "ab"), ("CC:/x", "CC:/x"), ("C::/x", "x")],
+    [("C:\\a\\..\\b", "a/b"), ("//x//y", "x/y"), (" . / .. ", "payload.bin"), (None, "payload.bin"), (c.INDEX_NAME, f"payload/{c.INDEX_NAME}.bin"), ("a\x00b", "ab"), ("CC:/x", "CC:/x"), ("C::/x", "x")],
 )
 def test_clean_name(spark, raw, clean):
     assert one(spark, x.clean_name(F.lit(raw).cast("string"))) == clean
@@ -105,7 +105,7 @@ def test_validators(spark):
     cd = spark.createDataFrame([(0, "é", 0, 0, 1, 1), (1, "a", 2048, 8, 1, 1), (2, "a", 0, 0, 1, 2), (3, "d/", 9, 0, 0, 0)], "ord long, name string, flags int, method int, csize long, usize long")
     got = {(r["ord"], r["detail"]) for r in validate.directory_faults(cd).collect()}
     assert got == {(0, "UTF-8 flag missing"), (1, "method is not STORE"), (2, "sizes unequal or zero"), (2, "duplicate name"), (3, "encrypted"), (3, "data descriptor"), (3, "sizes unequal or zero"), (3, "directory entry")}
-    index = spark.createDataFrame([(0, "__metadata__", 5, 1), (1, "x", 5, 1)], "ord int, name string, offset long, size long")
+    index = spark.createDataFrame([(0, c.MANIFEST_NAME, 5, 1), (1, "x", 5, 1)], "ord int, name string, offset long, size long")
     assert [r["name"] for r in validate.flat_index_faults(index).collect()] == ["x"] and validate.flat_index_faults(index.limit(0)).count() == 1
     assert {r["name"] for r in validate.hierarchy_index_faults(index, spark.createDataFrame([("METADATA/a.parquet",), ("DATA/b",)], "name string")).collect()} == {"METADATA/a.parquet", "COLLECTION.json"}
     pads = spark.createDataFrame([(0, c.PADDING_NAME), (1, c.PADDING_NAME)], "ord long, name string")
