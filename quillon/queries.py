@@ -94,13 +94,12 @@ def predicted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("lang").agg(size.alias("predicted")).withColumn("padding", layout.padding_size("predicted"))
 
 
-@query(ENTRIES + """, f as (select * from e where ord < 40), p as (select s.*, cast(92 + coalesce(sum(lfh_size + s.size) over (order by ord rows between unbounded preceding and 1 preceding), 0) as bigint) as lfh_offset from s where ord < 40),
-t as (select max(lfh_offset + lfh_size + size) as a, cast(sum(46 + strlen(name)) + 55 as bigint) as cd from p)
+@query(ENTRIES + """, t as (select max(lfh_offset + lfh_size + size) as a, cast(sum(46 + strlen(name)) + 55 as bigint) as cd from flat)
 select 'index header' as label, 'index-lfh' as kind, 0 as start, 51 as "end" union all select 'index', 'index', 51, 92
-union all select name, 'file', lfh_offset, lfh_offset + lfh_size + size from p
+union all select name, 'file', lfh_offset, lfh_offset + lfh_size + size from flat
 union all select 'central directory', 'cd', a, a + cd from t union all select 'end of central directory', 'eocd', a + cd, a + cd + 22 from t""")
 def segments_bytemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.segments(layout.plan_flat(entries(spark, sf_dir).where("ord < 40")), c.FLAT_BASE - c.INDEX_LFH)
+    return layout.segments(layout.plan_flat(entries(spark, sf_dir)), c.FLAT_BASE - c.INDEX_LFH)
 
 
 LOOKUP = ENTRIES + """, q as (select doc_id as id, (doc_id * 7919) % (select max(lfh_offset + lfh_size + size) from flat) as place from documents)
