@@ -46,7 +46,7 @@ PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
 CACHE_BITS = 22
 #: n-grams that a task holds before it adds them up, and that it may hold on to after that.
-MOST_PENDING, MOST_HELD = 2_000_000, 1_300_000
+MOST_PENDING, MOST_HELD = 1_000_000, 700_000
 
 META, WORDS, GRAMS = 0, 1, 2
 BLOCKS = "kind int, block long, shard int, doc_ids array<long>, held array<boolean>, a binary, b binary"
@@ -171,6 +171,7 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                         counted, pending = [], 0
         if counted:
             yield _record(gram_rows(*merged(counted), shards))
+        tk.trim()
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -358,6 +359,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 else:
                     counts.append(unpress(a, "<i8"))
         yield from done()
+        tk.trim()
 
     parts = table.where(F.col("kind") == META).union(answers.where("block >= 0"))
     return parts.repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(run, SCORES)
