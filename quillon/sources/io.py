@@ -28,6 +28,7 @@ class Source:
         self.path = path
         self.requests = 0
         self._size: int | None = None
+        self._file = None
 
     def _store(self):
         from pyarrow import fs
@@ -74,15 +75,21 @@ class Source:
                     raise
                 data = b""
         else:
-            store, path = self._store()
-            with store.open_input_file(path) as f:
-                self._size = f.size()
-                f.seek(min(offset, self._size))
-                data = f.read(size)
+            if self._file is None:
+                store, path = self._store()
+                self._file = store.open_input_file(path)
+                self._size = self._file.size()
+            self._file.seek(min(offset, self._size))
+            data = self._file.read(size)
         if len(data) < size and not short:
             raise OSError(f"{self.path}: {len(data)} of {size} bytes at {offset}")
         return data
 
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+            self._file = None
+
     def all(self) -> bytes:
         return self.get(0, self.size)
 
@@ -152,6 +159,7 @@ def with_payloads(entries: DataFrame, source: str | F.Column, gap: int = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            opened: dict[str, Source] = {}
             paths, offsets, sizes = (batch.column(x).to_pylist() for x in ("_source", "offset", "size"))
             offsets, sizes = [int(x) for x in offsets], [int(x) for x in sizes]
             i = 0
@@ -160,7 +168,7 @@ def with_payloads(entries: DataFrame, source: str | F.Column, gap: int = 1 << 16
                 while j < len(paths) and paths[j] == paths[i] and offsets[j] <= end + gap and max(end, offsets[j] + sizes[j]) - offsets[i] <= most:
                     end = max(end, offsets[j] + sizes[j])
                     j += 1
-                data = Source(paths[i]).get(offsets[i], end - offsets[i])
+                data = opened.setdefault(paths[i], Source(paths[i])).get(offsets[i], end - offsets[i])
                 payloads = [data[o - offsets[i] : o - offsets[i] + s] for o, s in zip(offsets[i:j], sizes[i:j], strict=True)]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(payloads, pa.binary())], names=[*names, "payload"])

@@ -87,6 +87,7 @@ def _payload(path: str | None, data: bytes | None, size: int) -> Iterator[bytes]
     source = Source(path)
     for at in range(0, size, COPY):
         yield source.get(at, min(COPY, size - at))
+    source.close()
 
 
 PARTS = "first long, part string, records string, part_bytes long, record_bytes long, entries long"
