@@ -3,9 +3,13 @@
 A text is its sequence of lower-cased words and one end.  The model spells it: bytes of the words with one space between
 words and an end symbol, each given the five symbols before it (fewer at the start, which is padded), so rare
 and unseen words have probabilities too and the probabilities of all sequences sum to at most one.  Probabilities are
-Witten-Bell interpolations (with `BACKOFF` times the types) of 6-gram to 1-gram counts over all training texts.  n-grams rarer than
-`RAREST` of all symbols are left to backoff, so a level has at most 1 / RAREST n-grams however large the corpus
-is; the trie (see eftrie) is one file in the shared folder, memory-mapped by every worker.
+Witten-Bell interpolations (with `BACKOFF` times the types) of 6-gram to 1-gram counts over all training texts.  Every
+n-gram counts, at every size of the corpus.
+
+No one holds the whole model.  n-grams go to shards by the last `LOCAL` symbols of their contexts: longer n-grams of a context,
+and their suffixes, then share a shard, and the n-grams of up to LOCAL symbols (256^3 at most) go to every shard.  A shard
+is counted, smoothed and built as a trie of its own (see eftrie), memory-mapped by its task, which answers the
+distinct n-grams that each block of texts asks of the shard.  The answers come back to the block, in 16 bits.
 
 Beside the score stands the add-one unigram baseline of word tokens, with exact counts of all words.  The vocabulary
 has no bound, so it is never broadcast: texts are kept in blocks of about `BLOCK_BYTES`; the distinct words of a block go
@@ -18,12 +22,12 @@ scored one for one.  With nothing to learn from, all symbols are equally likely
 
 from __future__ import annotations
 
-import functools
 import mmap
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +42,18 @@ from quillon.llm.warc import file_system
 ORDER = 6
 #: A context's types count so many times in the weight of the shorter context.
 BACKOFF = 6
-#: Least share of all symbols for an n-gram of the trie.
-RAREST = 2.0**-25
+#: n-grams are dealt by so many symbols before the last one.
+LOCAL = 3
 BLOCK_BYTES = 2 << 20
 #: Bytes that no word has.
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
-CACHE_BITS = 22
 #: n-grams that a task holds before it adds them up, and that it may hold on to after that.
 MOST_PENDING, MOST_HELD = 1_000_000, 700_000
+#: n-grams that are looked up together.
+MOST_ASKED = 1_000_000
 
-META, WORDS, GRAMS = 0, 1, 2
+META, WORDS, GRAMS, ASKED = 0, 1, 2, 3
 BLOCKS = "kind int, block long, shard int, doc_ids array<long>, held array<boolean>, a binary, b binary"
 
 
@@ -64,6 +69,11 @@ def unpress(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def mask(k: int) -> np.uint64:
+    """Selects the last k symbols."""
+    return np.uint64((1 << 8 * k) - 1)
+
+
 def gaps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
@@ -126,21 +136,32 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple]:
+def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray | None, shard: np.ndarray, shards: int) -> list[tuple]:
     """A row for each shard that has keys; keys ascend within an ascending shard."""
     edge = np.searchsorted(shard, np.arange(shards + 1))
-    return [(kind, block, s, None, None, press(gaps(keys[a:b])), press(n[a:b].astype(np.int64))) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+    pressed = lambda a, b: None if n is None else press(n[a:b].astype(np.int64))
+    return [(kind, block, s, None, None, press(gaps(keys[a:b])), pressed(a, b)) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
 
 
-def gram_rows(keys: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
-    """n-grams are dealt by hash, as some shards of their own order would be far larger; within a shard their gaps compress well."""
-    shard = shards_of(tk.mix(keys), shards)
+def gram_shards(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending n-grams by shard, and their shards in this order."""
+    shard = shards_of(tk.mix(keys >> np.uint64(8) & mask(LOCAL)), shards)
     order = np.argsort(shard, kind="stable")
-    return sharded(GRAMS, 0, keys[order], n[order], shard[order], shards)
+    return order, shard[order]
+
+
+def gram_rows(keys: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
+    order, shard = gram_shards(keys, shards)
+    return sharded(GRAMS, 0, keys[order], n[order], shard, shards)
+
+
+def asked_rows(block: int, keys: np.ndarray, shards: int) -> list[tuple]:
+    order, shard = gram_shards(keys, shards)
+    return sharded(ASKED, block, keys[order], None, shard, shards)
 
 
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """Blocks of spelled texts, their words by shard, and counts of n-grams by shard. docs: doc_id, text, held."""
+    """Blocks of spelled texts, their words and n-grams by shard, and counts of n-grams by shard. docs: doc_id, text, held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: list[tuple[np.ndarray, np.ndarray]] = []
@@ -157,12 +178,17 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                 n = np.bincount(place[own], minlength=len(words)).astype(np.int64)
                 rows = [(META, block, -1, batch.column("doc_id").slice(lo, hi - lo).to_pylist(), held[lo:hi].tolist(), press(data), press(at))]
                 yield _record(rows + sharded(WORDS, block, words, n, shards_of(words, shards), shards))
+                asked = []
                 for a, b in row_ranges(at):
                     key, key_at = grams(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                    key = np.sort(key[np.repeat(learnt[a:b], np.diff(key_at))])
+                    own = np.repeat(learnt[a:b], np.diff(key_at))
+                    asked.append(np.unique(key[~own]))
+                    key = np.sort(key[own])
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
                     counted.append((key[first], np.diff(np.append(first, len(key))).astype(np.int32)))
+                    asked.append(key[first])
                     pending += len(first)
+                yield _record(asked_rows(block, np.unique(np.concatenate(asked)), shards))
                 if pending > MOST_PENDING:
                     counted = [merged(counted)]
                     pending = len(counted[0][0])
@@ -206,111 +232,149 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "n"])
 
 
-def suffix(k: int) -> Column:
-    return F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))
-
-
-def context() -> Column:
-    return F.shiftright("key", 8)
-
-
-def trie_file(gram_counts: DataFrame, rarest: float = RAREST) -> str:
-    """Smooth, prune and write the trie from a written table of n-gram counts (key, n); returns the file's URI."""
-    spark = gram_counts.sparkSession
-    total = gram_counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, total * rarest)
-    uniform = 1 / SYMBOLS
-    counts = {ORDER: gram_counts}
-    for k in range(ORDER - 1, 0, -1):
-        counts[k] = keep(counts[k + 1].groupBy(suffix(k).alias("key")).agg(F.sum("n").alias("n")), f"grams-{k}")
-    levels, lower, floor = [], None, np.log10(uniform)
-    for k in range(1, ORDER + 1):
-        contexts = keep(counts[k].groupBy(context().alias("h")).agg(F.sum("n").alias("all"), (F.count("*") * BACKOFF).alias("types")), f"contexts-{k}")
-        some = counts[k].where(F.col("n") >= least).withColumn("h", context()).join(contexts, "h")
-        if k == 1:
-            one = contexts.first()
-            if one:
-                floor = float(np.log10(one["types"] / (one["all"] + one["types"]) * uniform))
-            some = some.withColumn("q", F.lit(uniform))
-        else:
-            some = some.withColumn("s", suffix(k - 1)).join(lower.select(F.col("key").alias("s"), F.col("p").alias("q")), "s")
-        lower = keep(some.select("key", "h", "q", ((F.col("n") + F.col("types") * F.col("q")) / (F.col("all") + F.col("types"))).alias("p")), f"level-{k}")
-        # At most 1 / rarest rows.
-        rows = lower.select("key", "p").orderBy("key").toArrow()
-        weights = lower.groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).orderBy("h").toArrow() if k > 1 else None
-        u = lambda t, c: t.column(c).to_numpy()
-        if weights is not None:
-            keys, p, _ = levels[-1]
-            bow = np.zeros(len(keys))
-            left = np.maximum(1 - u(weights, "p"), 1e-12) / np.maximum(1 - u(weights, "q"), 1e-12)
-            bow[np.searchsorted(keys, u(weights, "h").astype(np.uint64))] = np.log10(np.minimum(left, 1.0))
-            levels[-1] = (keys, p, bow)
-        keys, p = u(rows, "key").astype(np.uint64), np.log10(u(rows, "p"))
-        if k < ORDER:  # the padding before a text, a context only
-            pads = np.uint64(int.from_bytes(bytes([PAD]) * k, "big"))
-            at = int(np.searchsorted(keys, pads))
-            keys, p = np.insert(keys, at, pads), np.insert(p, at, -20.0)
-        levels.append((keys, p, np.zeros(len(keys))))
-    uri = f"{shared_dir(spark)}/quillon/trie-{uuid.uuid4().hex}.bin"
+def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of n-gram counts -> counts of n-grams of LOCAL symbols."""
+    held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            held.append(added(np.cumsum(unpress(a, "<u8"), dtype=np.uint64) & mask(LOCAL), unpress(b, "<i8")))
+        held = [merged(held)]
+    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1], pa.int64())], names=["key", "n"])
+
+
+@dataclass
+class Level:
+    """n-grams of one length, ascending, and probabilities; contexts, ascending, and weights of the shorter context."""
+
+    keys: np.ndarray
+    p: np.ndarray
+    contexts: np.ndarray
+    weights: np.ndarray
+
+
+def smoothed(keys: np.ndarray, n: np.ndarray, k: int, below: Level | None, least: float = 1.0) -> Level:
+    """k-grams seen `least` times at least, from counts of longer n-grams and the level below."""
+    keys, n = added(keys & mask(k), n)
+    h = keys >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(h)))
+    total, types = np.add.reduceat(n, first) if len(first) else n, size * BACKOFF
+    of = np.repeat(np.arange(len(first)), size)[n >= least]
+    keys, n = keys[n >= least], n[n >= least]
+    q = np.full(len(keys), 1 / SYMBOLS) if below is None else below.p[np.searchsorted(below.keys, keys & mask(k - 1))]
+    p = (n + types[of] * q) / (total[of] + types[of])
+    left = [np.maximum(1 - np.bincount(of, x, len(first)), 1e-12) for x in (p, q)]
+    some = np.unique(of)
+    return Level(keys, p, h[first][some], np.minimum(left[0] / left[1], 1.0)[some])
+
+
+def trie_arrays(levels: list[Level]) -> dict[str, np.ndarray]:
+    """Arrays of a trie. n-grams that are contexts only, as the padding before a text is, are nodes too."""
+    weights = levels[0].weights
+    floor = float(np.log10((weights[0] if len(weights) else 1.0) / SYMBOLS))
+    out, contexts = [], np.zeros(0, np.uint64)
+    for k in range(len(levels), 0, -1):
+        own = levels[k - 1]
+        keys = np.union1d(own.keys, contexts)
+        p, bow = np.full(len(keys), -20.0), np.zeros(len(keys))
+        p[np.searchsorted(keys, own.keys)] = np.log10(own.p)
+        if k < len(levels):
+            bow[np.searchsorted(keys, levels[k].contexts)] = np.log10(levels[k].weights)
+        out.append((keys, p, bow))
+        contexts = np.unique(keys >> np.uint64(8))
+    return eftrie.build(out[::-1], floor)
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray, low: list[Level], least: float = 1.0) -> list[Level]:
+    """The given shortest levels and the others, up to ORDER."""
+    levels = [*low]
+    for k in range(len(low) + 1, ORDER + 1):
+        levels.append(smoothed(keys, n, k, levels[-1] if levels else None, least))
+    return levels
+
+
+def counts_of(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.toArrow()
+    return rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
+
+
+def trie_file(gram_counts: DataFrame, rarest: float = 0.0) -> str:
+    """One trie of a whole small table of n-gram counts (key, n), without n-grams under a share of all symbols; returns the file's URI."""
+    keys, n = counts_of(gram_counts)
+    uri = f"{shared_dir(gram_counts.sparkSession)}/quillon/trie-{uuid.uuid4().hex}.bin"
     store, path = file_system(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path, compression=None) as out:
-        out.write(eftrie.packed(eftrie.build(levels, floor)))
+        out.write(eftrie.packed(trie_arrays(levels_of(keys, n, [], max(1.0, n.sum() * rarest)))))
     return uri
 
 
-def opened(uri: str) -> eftrie.Trie:
-    """The trie of a file, memory-mapped from a copy that is unlinked at once."""
-    store, path = file_system(uri)
+def mapped(parts: Iterable[bytes]) -> eftrie.Trie:
+    """The trie of a file's bytes, memory-mapped from a file that is unlinked at once."""
     with tempfile.TemporaryFile() as own:
-        with store.open_input_stream(path, compression=None) as source:
-            while data := source.read(1 << 20):
-                own.write(data)
+        for data in parts:
+            own.write(data)
         own.flush()
         return eftrie.Trie(eftrie.unpacked(mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ)))
 
 
-class Scorer:
-    """log10 probabilities of n-grams, with a direct-mapped cache before the trie: a tag and a value for each slot.
-
-    An n-gram's 8 * ORDER bits are permuted; the upper ones are its slot and the others its tag, so a hit is certain.
-    """
-
-    def __init__(self, trie: eftrie.Trie):
-        self.trie = trie
-        self.bits = 8 * trie.order
-        if not CACHE_BITS < self.bits < CACHE_BITS + 32:
-            raise ValueError(f"tags of {self.bits - CACHE_BITS} bits")
-        self.tags = np.zeros(1 << CACHE_BITS, np.uint32)
-        self.values = np.zeros(1 << CACHE_BITS, np.float32)
-
-    def place(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every, half = np.uint64((1 << self.bits) - 1), np.uint64(self.bits // 2)
-        x = grams_ * np.uint64(0x9E3779B97F4A7C15) & every
-        x ^= x >> half
-        x = x * np.uint64(0xC2B2AE3D27D4EB4F) & every
-        x ^= x >> half
-        rest = self.bits - CACHE_BITS
-        return (x >> np.uint64(rest)).astype(np.int64), (x & np.uint64((1 << rest) - 1)).astype(np.uint32) + np.uint32(1)
-
-    def of(self, grams_: np.ndarray) -> np.ndarray:
-        slot, tag = self.place(grams_)
-        out = self.values[slot]
-        lost = np.flatnonzero(self.tags[slot] != tag)
-        if len(lost):
-            new, back = np.unique(grams_[lost], return_inverse=True)
-            p = self.trie.log10(new).astype(np.float32)
-            out[lost] = p[back]
-            slot, tag = self.place(new)
-            last = np.zeros(len(new), bool)  # one of several n-grams of a slot stays
-            last[np.unique(slot, return_index=True)[1]] = True
-            self.tags[slot[last]], self.values[slot[last]] = tag[last], p[last]
-        return out.astype(float)
-
-
-@functools.lru_cache(maxsize=1)
-def scorer(uri: str) -> Scorer:
-    return Scorer(opened(uri))
+def opened(uri: str) -> eftrie.Trie:
+    store, path = file_system(uri)
+    with store.open_input_stream(path, compression=None) as source:
+        return mapped(iter(lambda: source.read(1 << 20), b""))
+
+
+def _answers(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by shard and kind -> for each row that asks, the log10 probabilities of its n-grams. sent: the levels up to LOCAL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, trie = None, None
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counts, pending, most = [none], 0, MOST_PENDING
+        asked: list[tuple[int, np.ndarray]] = []
+        waiting = 0
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            if not asked:
+                return
+            new, back = np.unique(np.concatenate([keys for _, keys in asked]), return_inverse=True)
+            p = trie.log10(new)[back]
+            out, a = [], 0
+            for block, keys in asked:
+                codes, scale = eftrie.quantised(p[a : a + len(keys)])
+                out.append((ASKED, block, shard, None, None, press(codes), scale.tobytes()))
+                a += len(keys)
+            for a in range(0, len(out), 256):
+                yield _record(out[a : a + 256])
+
+        for batch in batches:
+            for s, kind, block, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "block", "a", "b")), strict=True):
+                if s != shard:
+                    yield from answered()
+                    asked, waiting = [], 0
+                    shard, trie = s, None
+                    counts, pending, most = [none], 0, MOST_PENDING
+                keys = np.cumsum(unpress(a, "<u8"), dtype=np.uint64)
+                if kind == GRAMS:
+                    counts.append((keys, unpress(b, "<i8")))
+                    pending += len(keys)
+                    if pending > most:
+                        counts = [merged(counts)]
+                        pending = len(counts[0][0])
+                        most = 2 * pending + MOST_PENDING
+                    continue
+                if trie is None:
+                    trie = mapped([eftrie.packed(trie_arrays(levels_of(*merged(counts), sent.value)))])
+                    counts = [none]
+                asked.append((block, keys))
+                waiting += len(keys)
+                if waiting > MOST_ASKED:
+                    yield from answered()
+                    asked, waiting = [], 0
+        yield from answered()
+        tk.trim()
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -322,18 +386,23 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     shards = shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     table = keep(blocks(rows, shards), "lm-blocks")
-    dealt = lambda kind: table.where(F.col("kind") == kind).repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    gram_counts = keep(dealt(GRAMS).mapInArrow(_gram_counts, "key long, n long"), "lm-grams")
-    uri = trie_file(gram_counts)
+    dealt = lambda *kinds: table.where(F.col("kind").isin(*kinds)).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
+    # At most 256^LOCAL rows.
+    short = table.where(F.col("kind") == GRAMS).select("a", "b").mapInArrow(_short_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    keys, counted = counts_of(short)
+    low: list[Level] = []
+    for k in range(1, LOCAL + 1):
+        low.append(smoothed(keys, counted, k, low[-1] if low else None))
+    likely = keep(dealt(GRAMS, ASKED).mapInArrow(_answers(spark.sparkContext.broadcast(low)), BLOCKS), "lm-answers")
     answers = keep(dealt(WORDS).mapInArrow(_word_counts, BLOCKS), "lm-counts")
     tokens = answers.where("block = -1").agg(F.sum(F.col("doc_ids")[0]).alias("n"), F.sum(F.col("doc_ids")[1]).alias("v")).first()
     ends = table.where(F.col("kind") == META).agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     n, v = (tokens["n"] or 0) + ends, (tokens["v"] or 0) + (ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(uri)
         meta: tuple | None = None
         counts: list[np.ndarray] = []
+        found: list[np.ndarray] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             if meta is None:
@@ -347,19 +416,27 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             log = np.log10((c + 1) / (n + v + 1))[place] if len(words) else np.zeros(0)
             known = tk.segment_sums((c > 0)[place].astype(np.int64) if len(words) else np.zeros(0, np.int64), word_at) + (ends > 0)
             base = tk.segment_sums(log, word_at) + np.log10((ends + 1) / (n + v + 1))
-            total = [tk.segment_sums(score.of(k), k_at) for k, k_at in (grams(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in row_ranges(at))]
-            cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(word_at) + 1), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(np.concatenate(total))]
+            key, key_at = grams(data, at)
+            key, place = np.unique(key, return_inverse=True)
+            p = np.concatenate([*found, np.zeros(0)])
+            if len(p) != len(key):
+                raise ValueError(f"{len(p)} answers for {len(key)} n-grams")
+            p[gram_shards(key, shards)[0]] = p.copy()
+            total = tk.segment_sums(p[place], key_at)
+            cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(word_at) + 1), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(total)]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORES.split(", ")])
 
         for batch in batches:
-            for shard, ids, held, a, b in zip(*(batch.column(x).to_pylist() for x in ("shard", "doc_ids", "held", "a", "b")), strict=True):
-                if shard < 0:
+            for kind, ids, held, a, b in zip(*(batch.column(x).to_pylist() for x in ("kind", "doc_ids", "held", "a", "b")), strict=True):
+                if kind == META:
                     yield from done()
-                    meta, counts = (ids, held, unpress(a, "u1"), unpress(b, "<i8")), []
-                else:
+                    meta, counts, found = (ids, held, unpress(a, "u1"), unpress(b, "<i8")), [], []
+                elif kind == WORDS:
                     counts.append(unpress(a, "<i8"))
+                else:
+                    found.append(eftrie.restored(unpress(a, "<u2"), np.frombuffer(b)))
         yield from done()
         tk.trim()
 
-    parts = table.where(F.col("kind") == META).union(answers.where("block >= 0"))
+    parts = table.where(F.col("kind") == META).union(answers.where("block >= 0")).union(likely)
     return parts.repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(run, SCORES)

@@ -224,6 +224,36 @@ def test_lm_probabilities_sum_to_one(spark):
             assert 0.97 < total < 1.001
 
 
+def test_lm_scores_equal_interpolation(spark):
+    texts = random_texts(60, 12, 30) + ["", "Qz qz", "rare \u017cubr", "aa aa aa"]
+    seqs = [[lm.PAD] * (lm.ORDER - 1) + [*" ".join(words(t)).encode(), lm.END] for t in texts]
+    n, contexts = Counter(), {}
+    for i, s in enumerate(seqs):
+        for j in range(lm.ORDER - 1, len(s)):
+            for k in range(1, lm.ORDER + 1) if i % 5 else ():
+                n[tuple(s[j - k + 1 : j + 1])] += 1
+    for g, c in n.items():
+        total, types = contexts.get((len(g), g[:-1]), (0, 0))
+        contexts[len(g), g[:-1]] = total + c, types + lm.BACKOFF
+
+    def p(g):
+        if not g:
+            return 1 / lm.SYMBOLS
+        total, types = contexts.get((len(g), g[:-1]), (0, 0))
+        return (n[g] + types * p(g[1:])) / (total + types) if total else p(g[1:])
+
+    got = {r["doc_id"]: r["score"] for r in lm.scores(documents(spark, texts).repartition(3), F.col("doc_id") % 5 == 0).collect()}
+    for i, s in enumerate(seqs):
+        want = [math.log10(p(tuple(s[j - lm.ORDER + 1 : j + 1]))) for j in range(lm.ORDER - 1, len(s))]
+        assert abs(got[i] - sum(want)) < 1e-3 * len(want)
+
+
+def test_lm_keeps_rare_grams_of_large_corpora(spark):
+    grams = [b"aaaaab", b"aaaaac", b"bcdefg"]
+    counts = spark.createDataFrame([(int.from_bytes(g, "big"), c) for g, c in zip(grams, (1 << 40, 1, 1))], "key long, n long")
+    assert lm.opened(lm.trie_file(counts)).child[-1].n == 3
+
+
 def rated(spark):
     good, bad = random_texts(150, 7, 60), [t.upper() + " !! !!" for t in random_texts(150, 8, 60)]
     docs = documents(spark, good + bad)
