@@ -14,7 +14,8 @@ Every q-gram, occurrence and stretch counts; nothing is sampled.  Windows are br
 `BLOCK_BYTES`, however long the benchmark is, and each block is a pass of its own over the rows.
 
 Null and empty texts are clean.  Null items, and items under `LEAST` normalised bytes (which occur by chance),
-are not searched; repeated items are searched once.  Rows are returned one for one with their own columns.
+are not searched.  A window that several items have is searched
+once and counts for all of them; a null item_id is -1.  Rows are returned one for one with their own columns.
 """
 
 from __future__ import annotations
@@ -222,28 +223,32 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def marked(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of docs and benchmark_items: ascending item_ids of which a window occurs in the text."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    windows = items.mapInArrow(_windows, "item_id long, win binary").groupBy("win").agg(F.min("item_id").alias("item_id"))
-    total = windows.agg(F.sum(F.length("win"))).first()[0] or 0
+    windows = items.mapInArrow(_windows, "item_id long, win binary").groupBy("win").agg(F.collect_set(F.coalesce("item_id", F.lit(-1))).alias("item_ids"))
+    total = windows.agg(F.sum(F.length("win") + 8 * F.size("item_ids"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = docs.drop("benchmark_items").withColumn("benchmark_items", F.array().cast("array<long>"))
     schema = StructType([*out.drop("benchmark_items").schema, StructField("benchmark_items", ArrayType(LongType()))])
     for k in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k).orderBy("win").collect()  # about block_bytes
         if rows:
-            sent = docs.sparkSession.sparkContext.broadcast(Index.of([(-1 if r["item_id"] is None else r["item_id"], bytes(r["win"])) for r in rows]))
+            index = Index.of([(w, bytes(r["win"])) for w, r in enumerate(rows)])
+            sent = docs.sparkSession.sparkContext.broadcast((index, [r["item_ids"] for r in rows]))
             out = out.withColumn("_text", F.col("text").cast("string")).mapInArrow(_marker(sent), schema)
     return out.withColumn("benchmark_items", F.array_sort(F.array_distinct("benchmark_items")))
 
 
 def _marker(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index, item_ids = sent.value
         for batch in batches:
             items: list[list[int]] = [x or [] for x in batch.column("benchmark_items").to_pylist()]
             for lo, _, buf, off in tk.blocks(batch.column("_text")):
                 data, at = normalised(buf, off)
+                found: dict[int, set[int]] = {}
                 for d, w in zip(*matches(index, data, at), strict=True):
-                    items[lo + d] = [*items[lo + d], int(index.item[w])]
+                    found.setdefault(lo + int(d), set()).update(item_ids[w])
+                for d, ids in found.items():
+                    items[d] = sorted(ids.union(items[d]))
             names = [c for c in batch.schema.names if c not in ("_text", "benchmark_items")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(items, pa.list_(pa.int64()))], names=[*names, "benchmark_items"])
 

@@ -320,6 +320,15 @@ def test_decontamination(spark):
     assert decontaminate.marked(odd(spark), benchmark).count() == 10
 
 
+def test_decontamination_reports_all_items_of_a_window(spark):
+    first, second, third = (" ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest()[:6] for j in range(40)) for k in "abc")
+    rows = [(1, first), (2, first.upper()), (3, first + " " + second), (4, third), (None, third)]
+    docs = documents(spark, [first, third, second])
+    for block in (1 << 22, 300):
+        got = {r["doc_id"]: r["benchmark_items"] for r in decontaminate.marked(docs, spark.createDataFrame(rows, "item_id long, text string"), block).collect()}
+        assert got == {0: [1, 2, 3], 1: [-1, 4], 2: [3]}
+
+
 def test_licences(spark):
     texts = random_texts(200, 11, 60)
     marks = {3: "Licensed under the Apache License, Version 2.0.", 9: "SPDX-License-Identifier: MIT", 20: "Licensed under CC BY-NC 4.0.", 30: "the license of the software is not known to the author of this text"}
