@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and items are normalised: A-Z lower-cased, runs of ASCII bytes that are neither letters nor digits become one space.
-Items are cut into overlapping windows of `WINDOW` bytes (a shorter item is one window).  A window of w bytes
+Items are cut into overlapping windows of `WINDOW` bytes (a shorter item is one window), and also of `PASSAGE` bytes, no further apart than
+the edits that these may have: so a verbatim piece of PASSAGE bytes counts wherever in the item it begins.  A window of w bytes
 that occurs in a document with at most e = w / 16 edits shares at least w - q + 1 - q * e of its q-grams with it
 there, on diagonals that differ by at most e.  So:
 
@@ -33,6 +34,8 @@ from quillon.llm import textkit as tk
 
 Q = 12
 WINDOW, STRIDE = 96, 48
+#: The least piece of a longer item that counts.
+PASSAGE, PASSAGE_STRIDE = 64, 4
 LEAST = 24
 #: One edit is allowed for so many bytes of a window.
 PER_EDIT = 16
@@ -200,12 +203,12 @@ def verified(index: Index, data: np.ndarray, off: np.ndarray, doc: np.ndarray, w
     return np.concatenate(out)
 
 
-def windows_of(text: bytes) -> list[bytes]:
+def windows_of(text: bytes, size: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
     """Overlapping windows; the last one ends with the text."""
-    if len(text) <= WINDOW:
+    if len(text) <= size:
         return [text]
-    starts = [*range(0, len(text) - WINDOW, STRIDE), len(text) - WINDOW]
-    return [text[s : s + WINDOW] for s in starts]
+    starts = [*range(0, len(text) - size, stride), len(text) - size]
+    return [text[s : s + size] for s in starts]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(lo, hi):
                 text = data[at[r - lo] : at[r - lo + 1]].tobytes().strip()
                 if len(text) >= LEAST:
-                    rows += [(batch.column(0)[r].as_py(), w) for w in windows_of(text)]
+                    rows += [(batch.column(0)[r].as_py(), w) for w in windows_of(text) + windows_of(text, PASSAGE, PASSAGE_STRIDE)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.binary())], names=["item_id", "win"])
 
 

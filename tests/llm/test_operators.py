@@ -329,6 +329,16 @@ def test_decontamination_reports_all_items_of_a_window(spark):
         assert got == {0: [1, 2, 3], 1: [-1, 4], 2: [3]}
 
 
+def test_decontamination_finds_passages_wherever_they_begin(spark):
+    item = " ".join(hashlib.md5(f"p{j}".encode()).hexdigest()[: 2 + j % 7] for j in range(60))
+    around = " ".join(hashlib.md5(f"q{j}".encode()).hexdigest()[:5] for j in range(30))
+    n = 64
+    docs = documents(spark, [f"{around} {item[k : k + n]} {around}" for k in range(len(item) - n + 1)] + [around, f"{around} {item[100:140]} {around}"])
+    rows = decontaminate.marked(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    clean = {len(rows) - 2, len(rows) - 1}
+    assert all(r["benchmark_items"] == ([] if r["doc_id"] in clean else [5]) for r in rows)
+
+
 def test_licences(spark):
     texts = random_texts(200, 11, 60)
     marks = {3: "Licensed under the Apache License, Version 2.0.", 9: "SPDX-License-Identifier: MIT", 20: "Licensed under CC BY-NC 4.0.", 30: "the license of the software is not known to the author of this text"}
