@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.plans.layout import prefix, prefix_sum
+
 #: Bytes of a bin for range joins; a range enters every bin it touches.
 BIN = 1 << 20
 
@@ -31,21 +35,28 @@ def locate_asof(points: DataFrame, segments: DataFrame, at: str = "at", bin_byte
     return both.where("_kind = 1").select("_point.*", "_segment.*").where((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end")))
 
 
-def coalesced(ranges: DataFrame, gap: int, by: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Adds group_start and group_end: ranges (offset, size) whose gaps are at most `gap` bytes are fetched at once.
+def coalesced(ranges: DataFrame, gap: int, by: list[str] | None = None, most: int | None = None, bin_bytes: int = 64 * BIN) -> DataFrame:
+    """Adds range_group, group_start and group_end: ranges (offset, size) whose gaps are at most `gap` bytes are fetched at once.
 
-    by: columns of the archive; within one, neighbours are found in bins of a sort by offset.
+    by: columns of the archive.  Places go by bins of offsets and the bins' greatest ends and sums, so no task sees a whole archive.
+    most: a group does not go beyond a multiple of so many bytes.
     """
-    by = by or []
+    by_ = tuple(by or ())
     end = F.col("offset") + F.col("size")
-    order = W.partitionBy(*by).orderBy("offset", "size")
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(F.col("offset") > reach + gap, 1).otherwise(0)
+    placed = prefix(ranges, end, "_reach", F.max, "offset", bin_bytes, by=by_, then=("size",))
+    fresh = F.col("offset") > F.col("_reach") + gap
     if most:
-        fresh = F.when(F.floor(F.col("offset") / most) > F.floor(F.lag("offset").over(order) / most), 1).otherwise(fresh)
-    marked = ranges.withColumn("_new", F.coalesce(fresh, F.lit(0))).withColumn("range_group", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    own = W.partitionBy(*by, "range_group")
-    return marked.withColumn("group_start", F.min("offset").over(own)).withColumn("group_end", F.max(end).over(own)).drop("_new")
+        placed = prefix(placed, F.col("offset"), "_last", F.max, "offset", bin_bytes, by=by_, then=("size",))
+        fresh = fresh | (F.floor(F.col("offset") / most) > F.floor(F.col("_last") / most))
+    marked = placed.withColumn("_new", F.coalesce(fresh, F.lit(False)).cast("long"))
+    marked = prefix_sum(marked, F.col("_new"), "_before", "offset", bin_bytes, by=by_, then=("size", "_new")).withColumn("range_group", F.col("_before") + F.col("_new"))
+    marked = marked.drop("_reach", "_last", "_new", "_before")
+    groups = marked.groupBy(*by_, "range_group").agg(F.min("offset").alias("group_start"), F.max(end).alias("group_end"))
+    for x in by_:
+        groups = groups.withColumnRenamed(x, f"_{x}_")
+    same = [marked[x].eqNullSafe(F.col(f"_{x}_")) for x in by_]
+    found = marked.join(groups.withColumnRenamed("range_group", "_group"), reduce(lambda a, b: a & b, same, marked["range_group"] == F.col("_group")))
+    return found.drop("_group", *(f"_{x}_" for x in by_))
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

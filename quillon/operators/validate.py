@@ -89,6 +89,11 @@ def empty_faults(rows: DataFrame) -> DataFrame:
     return faults(rows.where(F.coalesce(F.col("size"), F.lit(0)) <= 0), "INVALID_ZIP_STRUCTURE", "zero-byte entry")
 
 
+def zip32_faults(rows: DataFrame) -> DataFrame:
+    """Payloads that an archive without ZIP64 cannot hold."""
+    return faults(rows.where(F.col("size") >= c.SENTINEL32), "INVALID_ZIP64", F.col("size"))
+
+
 def input_faults(rows: DataFrame) -> DataFrame:
     """Everything a flat archive's input rows may break before files are looked at."""
     n = rows.agg(F.count("*").alias("n")).where("n = 0")
@@ -220,10 +225,17 @@ def gaps(entries: DataFrame) -> DataFrame:
     return entries.join(ends, entries["lfh_offset"] == ends["_end"], "left_anti").where(F.col("lfh_offset") != start)
 
 
+def order_faults(rows: DataFrame) -> DataFrame:
+    """Null places in the order, and places that are taken twice."""
+    return union(faults(rows.where(F.col("ord").isNull()), "INVALID_OFFSET", "null ord"), faults(duplicates(rows.where(F.col("ord").isNotNull()), "ord", "name"), "INVALID_OFFSET", "repeated ord"))
+
+
 def increasing_faults(entries: DataFrame) -> DataFrame:
-    """Offsets that do not grow with ord."""
-    before = F.lag("offset").over(W.orderBy("ord"))
-    return faults(entries.withColumn("_b", before).where(F.col("offset") <= F.col("_b")), "INVALID_OFFSET", "offset does not grow")
+    """Offsets that do not exceed all that come before them by ord; places in chunks, so no task sees all rows."""
+    from quillon.plans.layout import prefix
+
+    before = prefix(entries, F.col("offset"), "_b", F.max)
+    return faults(before.where(F.col("offset") <= F.col("_b")), "INVALID_OFFSET", "offset does not grow")
 
 
 def long_name_faults(rows: DataFrame) -> DataFrame:

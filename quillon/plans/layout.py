@@ -2,11 +2,15 @@
 
 An entry relation has ord, name, size and in_index.  The prefix sum is two-level: sums of chunks of neighbouring
 ords, a running sum over the chunks (one row each), and running sums within each chunk, so no task sees more than a chunk or
-the table of chunk sums; that table is summed up in chunks again while it is large.
+the table of chunk sums; that table is summed up in chunks again while it is large.  Rows with a null ord have no place; repeated
+ords are told apart by name.  Both are faults (validate.order_faults), which writers refuse.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,19 +22,33 @@ from quillon.functions.expressions import byte_length, lfh_size
 CHUNK = 4096
 
 
-def prefix_sum(df: DataFrame, value: Column, name: str, order: str = "ord", chunk: int = CHUNK, levels: int = 2) -> DataFrame:
-    """Adds the sum of value over all rows before, by a non-negative integer order; `levels` of chunks."""
-    value_, chunk_, sum_, own_, before_ = (f"_{x}{levels}" for x in ("value", "chunk", "sum", "own", "before"))
-    df = df.withColumn(value_, value.cast("long")).withColumn(chunk_, F.floor(F.col(order) / chunk).cast("long"))
-    sums = df.groupBy(chunk_).agg(F.sum(value_).alias(sum_))
+def prefix(df: DataFrame, value: Column, name: str, of: Callable[[Column], Column], order: str = "ord", chunk: int = CHUNK, levels: int = 2, by: tuple[str, ...] = (), then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds an aggregate (F.sum, F.max) of value over all rows before, null for the first; by a non-negative integer order, then the columns of `then`; `levels` of chunks.
+
+    by: columns within which rows are ordered.  Rows without a place in the order (null) have no aggregate and play no part in others.
+    """
+    value_, chunk_, total_, own_, before_ = (f"_{x}{levels}" for x in ("value", "chunk", "total", "own", "before"))
+    df = df.withColumn(value_, F.when(F.col(order).isNotNull(), value.cast("long"))).withColumn(chunk_, F.coalesce(F.floor(F.col(order) / chunk).cast("long"), F.lit(-1)))
+    totals = df.groupBy(*by, chunk_).agg(of(value_).alias(total_))
     if levels > 1:
-        before = prefix_sum(sums, F.col(sum_), before_, chunk_, chunk, levels - 1).select(chunk_, before_)
+        earlier = prefix(totals.where(F.col(chunk_) >= 0), F.col(total_), before_, of, chunk_, chunk, levels - 1, by).select(*by, chunk_, before_)
     else:
-        rows = W.orderBy(chunk_).rowsBetween(W.unboundedPreceding, -1)
-        before = sums.select(chunk_, F.coalesce(F.sum(sum_).over(rows), F.lit(0)).alias(before_))
-    own = W.partitionBy(chunk_).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn(own_, F.coalesce(F.sum(value_).over(own), F.lit(0)))
-    return df.join(before, chunk_).withColumn(name, F.col(before_) + F.col(own_)).drop(value_, chunk_, before_, own_)
+        rows = W.partitionBy(*by).orderBy(chunk_).rowsBetween(W.unboundedPreceding, -1)
+        earlier = totals.where(F.col(chunk_) >= 0).select(*by, chunk_, of(total_).over(rows).alias(before_))
+    own = W.partitionBy(*by, chunk_).orderBy(order, *then).rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn(own_, F.when(F.col(order).isNotNull(), of(value_).over(own)))
+    for x in by:  # null-safe: rows of a null group are a group
+        earlier = earlier.withColumnRenamed(x, f"_{x}_")
+    found = df.join(earlier.withColumnRenamed(chunk_, "_chunk"), reduce(lambda a, b: a & b, (df[x].eqNullSafe(F.col(f"_{x}_")) for x in by), df[chunk_] == F.col("_chunk")), "left")
+    some = F.filter(F.array(before_, own_), lambda x: x.isNotNull())
+    both = F.array_max(some) if of is F.max else F.when(F.size(some) > 0, F.coalesce(before_, F.lit(0)) + F.coalesce(own_, F.lit(0)))
+    return found.withColumn(name, both).drop(value_, chunk_, "_chunk", before_, own_, *(f"_{x}_" for x in by))
+
+
+def prefix_sum(df: DataFrame, value: Column, name: str, order: str = "ord", chunk: int = CHUNK, levels: int = 2, by: tuple[str, ...] = (), then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of value over all rows before, 0 for the first and null for rows without a place in the order."""
+    found = prefix(df, value, name, F.sum, order, chunk, levels, by, then)
+    return found.withColumn(name, F.when(F.col(order).isNotNull(), F.coalesce(name, F.lit(0))))
 
 
 def index_payload_size(in_index: Column | None = None, name: str = "name") -> Column:
@@ -41,7 +59,7 @@ def index_payload_size(in_index: Column | None = None, name: str = "name") -> Co
 def plan_from(entries: DataFrame, base: Column | int, levels: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Adds lfh_offset, lfh_size and offset to entries; base is where the first header begins."""
     sized = entries.withColumn("lfh_size", lfh_size("name", "size").cast("long"))
-    out = prefix_sum(sized, F.col("lfh_size") + F.col("size"), "lfh_offset", "ord", chunk, levels)
+    out = prefix_sum(sized, F.col("lfh_size") + F.col("size"), "lfh_offset", "ord", chunk, levels, then=("name",))
     out = out.withColumn("lfh_offset", (F.col("lfh_offset") + (F.lit(base) if isinstance(base, int) else base)).cast("long"))
     return out.withColumn("offset", F.col("lfh_offset") + F.col("lfh_size"))
 
