@@ -209,9 +209,17 @@ def zip64_values(extra: bytes, wanted: int) -> list[int]:
     raise ArchiveError("INVALID_ZIP64", "a sentinel without a ZIP64 value")
 
 
-def parse_directory(data: bytes, entries: int) -> Iterator[DirectoryEntry]:
+def record_size(data: bytes, at: int, k: int) -> int:
+    """Bytes of the directory record at a place."""
+    if at + c.CDH_FIXED > len(data) or struct.unpack_from("<I", data, at)[0] != c.SIG_CDH:
+        raise ArchiveError("INVALID_ZIP_STRUCTURE", f"directory record {k} is missing")
+    return c.CDH_FIXED + sum(struct.unpack_from("<HHH", data, at + 28))
+
+
+def parse_directory(data: bytes, entries: int, first: int = 0) -> Iterator[DirectoryEntry]:
+    """Records in order; the first one has the number `first`."""
     at = 0
-    for k in range(entries):
+    for k in range(first, first + entries):
         if at + c.CDH_FIXED > len(data) or struct.unpack_from("<I", data, at)[0] != c.SIG_CDH:
             raise ArchiveError("INVALID_ZIP_STRUCTURE", f"directory record {k} is missing")
         _, _, _, flags, method, _, _, crc, csize, usize, n, e, m, _, _, _, place = _CDH.unpack_from(data, at)

@@ -31,24 +31,30 @@ def is_url(source: str) -> bool:
     return source.startswith(("http://", "https://"))
 
 
+#: How the virtual file system calls stores.
+STORES = {"s3": "vsis3", "gs": "vsigs", "az": "vsiaz", "hdfs": "vsihdfs"}
+
+
 def vsi_base(source: str) -> str:
-    """What a virtual path appends for an archive: remote ones by /vsicurl/, local ones absolute."""
-    return f"/vsicurl/{source}" if is_url(source) else os.path.abspath(source)
+    """What a virtual path appends for an archive: remote ones by their store, local ones absolute."""
+    if is_url(source):
+        return f"/vsicurl/{source}"
+    scheme, _, rest = source.partition("://")
+    if rest and scheme in STORES:
+        return f"/{STORES[scheme]}/{rest}"
+    return os.path.abspath(rest if rest and scheme == "file" else source)
 
 
 def vsi_base_dir(source: str) -> str:
     """The same for the folder of a catalog, with a slash at the end."""
-    if is_url(source):
-        return f"/vsicurl/{posixpath.dirname(source)}/"
-    return os.path.dirname(os.path.abspath(source)).rstrip("/") + "/"
+    return posixpath.dirname(vsi_base(source)).rstrip("/") + "/"
 
 
 def vsi_store(url: Column | str) -> Column:
     """The virtual path of an object by its scheme; other paths as they are."""
     u = _col(url)
-    stores = {"s3": "vsis3", "gs": "vsigs", "az": "vsiaz", "hdfs": "vsihdfs"}
     out = F.when(u.rlike("^https?://"), F.concat(F.lit("/vsicurl/"), u))
-    for scheme, prefix in stores.items():
+    for scheme, prefix in STORES.items():
         out = out.when(u.startswith(f"{scheme}://"), F.concat(F.lit(f"/{prefix}/"), F.substr(u, F.lit(len(scheme) + 4))))
     return out.otherwise(u)
 
@@ -117,6 +123,49 @@ def encoding_guess(raw: Column | str) -> Column:
     return F.when(F.hex(x).rlike("^([0-7].)*$"), "ascii").when(F.is_valid_utf8(text), "utf-8").otherwise("cp437")
 
 
+#: What bytes above 127 stand for in the code page of old archives.
+_CP437 = bytes(range(128, 256)).decode("cp437")
+
+
+def cp437_text(raw: Column | str) -> Column:
+    """Bytes in code page 437 as a string."""
+    return F.translate(F.decode(_col(raw), "ISO-8859-1"), "".join(map(chr, range(128, 256))), _CP437)
+
+
+def decoded_name(raw: Column | str) -> Column:
+    """A name's bytes as a string, by their guessed encoding."""
+    return F.when(encoding_guess(raw) == "cp437", cp437_text(raw)).otherwise(_col(raw).cast("string"))
+
+
+def sql_literal(text: Column | str) -> Column:
+    """A string as an SQL literal."""
+    return F.concat(F.lit("'"), F.replace(_col(text), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def range_map(name: Column | str, offset: Column | str, size: Column | str) -> Column:
+    """An aggregate: the map of names to (offset, size) of an index, which is small."""
+    return F.map_from_entries(F.collect_list(F.struct(_col(name), F.struct(_col(offset).alias("offset"), _col(size).alias("size")))))
+
+
+def zipped(names: Column | str, offsets: Column | str, sizes: Column | str) -> Column:
+    """Three arrays as rows (ord, name, offset, size)."""
+    entries = F.transform(F.arrays_zip(_col(names).alias("name"), _col(offsets).alias("offset"), _col(sizes).alias("size")), lambda e, k: F.struct(k.alias("ord"), e["name"].alias("name"), e["offset"].alias("offset"), e["size"].alias("size")))
+    return F.inline(entries)
+
+
+def pattern_bytes(seed: Column | str, n: Column | str) -> Column:
+    """n bytes of v = 33 v + i + seed modulo 256, from v = seed."""
+    s, count = _col(seed).cast("long"), _col(n)
+    places = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda a, i: F.struct((a["v"] * 33 + i + s).bitwiseAND(F.lit(255)).alias("v"), F.concat(a["out"], F.array((a["v"] * 33 + i + s).bitwiseAND(F.lit(255)))).alias("out"))
+    start = F.struct(s.bitwiseAND(F.lit(255)).alias("v"), F.array().cast("array<bigint>").alias("out"))
+    return F.unhex(F.aggregate(places, start, step, lambda a: F.array_join(F.transform(a["out"], lambda v: F.lpad(F.hex(v), 2, "0")), "")))
+
+
+def padding_bytes(n: Column | str) -> Column:
+    return F.unhex(F.repeat(F.lit(f"{c.PADDING_BYTE:02X}"), _col(n).cast("int")))
+
+
 def basename(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,10 @@ from quillon import codec
 from quillon import constants as c
 from quillon.errors import ArchiveError
 from quillon.functions.expressions import is_url
+from quillon.sources.store import resolved
 
+#: Bytes that are copied at a time.
+SLICE = 8 << 20
 AGENT = "Mozilla/5.0"
 
 
@@ -30,13 +32,6 @@ class Source:
         self._size: int | None = None
         self._file = None
 
-    def _store(self):
-        from pyarrow import fs
-
-        if "://" in self.path:
-            return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), os.path.abspath(self.path)
-
     def _http(self, headers: dict[str, str], method: str = "GET"):
         request = urllib.request.Request(self.path, headers={"User-Agent": AGENT} | headers, method=method)
         return urllib.request.urlopen(request, timeout=60)
@@ -48,7 +43,7 @@ class Source:
                 with self._http({}, "HEAD") as r:
                     self._size = int(r.headers["Content-Length"])
             else:
-                store, path = self._store()
+                store, path = resolved(self.path)
                 found = store.get_file_info(path)
                 if found.size is None:
                     raise FileNotFoundError(self.path)
@@ -76,7 +71,7 @@ class Source:
                 data = b""
         else:
             if self._file is None:
-                store, path = self._store()
+                store, path = resolved(self.path)
                 self._file = store.open_input_file(path)
                 self._size = self._file.size()
             self._file.seek(min(offset, self._size))
@@ -94,6 +89,18 @@ class Source:
         return self.get(0, self.size)
 
 
+class Bytes:
+    """Bytes at hand, read like a source."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def get(self, offset: int, size: int, short: bool = False) -> bytes:
+        if offset + size > self.size and not short:
+            raise OSError(f"{max(0, self.size - offset)} of {size} bytes at {offset}")
+        return self.data[offset : offset + size]
+
+
 def bootstrap(source: Source, verify: bool = False) -> codec.Index:
     """The index of an archive: one speculative read, a second one only for a longer index; small archives are read whole.
 
@@ -116,7 +123,7 @@ def bootstrap(source: Source, verify: bool = False) -> codec.Index:
     return index
 
 
-def archive_hash(source: Source, index_size: int) -> int:
+def archive_hash(source: Source | Bytes, index_size: int) -> int:
     h = c.FNV_BASIS
     for a, b in codec.hash_ranges(index_size, source.size):
         h = codec.fnv1a64(source.get(a, b - a), h)
@@ -129,22 +136,55 @@ def directory(source: Source) -> tuple[codec.End, list[codec.DirectoryEntry]]:
     return end, list(codec.parse_directory(source.get(end.at, end.size) if end.size else b"", end.entries))
 
 
+def directory_parts(source: Source, records: int) -> list[tuple[int, int, int, int]]:
+    """(first record, end record, first byte, end byte) of parts of the directory: one pass over its fixed fields, a piece at a time."""
+    tail_size = min(source.size, c.EOCD_FIXED + c.LOCATOR64_FIXED + c.EOCD64_FIXED)
+    end = codec.parse_end(source.get(source.size - tail_size, tail_size), source.size)
+    starts: list[tuple[int, int]] = []
+    at, data, base = end.at, b"", end.at
+    for k in range(end.entries):
+        if at + c.CDH_FIXED > base + len(data):
+            base, data = at, source.get(at, min(SLICE, end.at + end.size - at))
+        if k % records == 0:
+            starts.append((k, at))
+        at += codec.record_size(data, at - base, k)
+    starts.append((end.entries, at))
+    return [(a, b, x, y) for (a, x), (b, y) in zip(starts, starts[1:], strict=False)]
+
+
+def payload_offsets(source: Source, entries: list[codec.DirectoryEntry], gap: int = 1 << 16, most: int = SLICE) -> Iterator[tuple[codec.DirectoryEntry, int]]:
+    """Where payloads begin, by their local headers, in order of place; headers that lie near each other are read by one request."""
+    ordered = sorted(entries, key=lambda e: e.lfh_offset)
+    i = 0
+    while i < len(ordered):
+        start, j = ordered[i].lfh_offset, i + 1
+        while j < len(ordered) and ordered[j].lfh_offset - ordered[j - 1].lfh_offset <= gap and ordered[j].lfh_offset + c.LFH_FIXED - start <= most:
+            j += 1
+        data = source.get(start, ordered[j - 1].lfh_offset + c.LFH_FIXED - start)
+        for e in ordered[i:j]:
+            at = e.lfh_offset - start
+            yield e, e.lfh_offset + c.LFH_FIXED + int.from_bytes(data[at + 26 : at + 28], "little") + int.from_bytes(data[at + 28 : at + 30], "little")
+        i = j
+
+
 def payload_offset(source: Source, lfh_offset: int) -> int:
     head = source.get(lfh_offset, c.LFH_FIXED)
     return lfh_offset + c.LFH_FIXED + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
 
 
-def cached_slice(source: Source, offset: int, size: int, folder: str | None = None) -> str:
-    """A local file of an embedded payload, named by its content; unchanged bytes."""
-    data = source.get(offset, size)
-    folder = folder or os.path.join(tempfile.gettempdir(), "quillon-slices")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, hashlib.sha256(data).hexdigest() + ".parquet")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
-            f.write(data)
-        os.replace(f.name, path)
-    return path
+def cached_slice(source: Source, offset: int, size: int, folder: str) -> str:
+    """An embedded payload as a file of its own in a folder that all machines share, named by its content; unchanged bytes, copied in pieces."""
+    store, place = resolved(folder)
+    store.create_dir(place, recursive=True)
+    own, digest = f"{place}/{uuid.uuid4().hex}.part", hashlib.sha256()
+    with store.open_output_stream(own, compression=None) as out:
+        for at in range(offset, offset + size, SLICE):
+            data = source.get(at, min(SLICE, offset + size - at))
+            digest.update(data)
+            out.write(data)
+    name = digest.hexdigest() + ".parquet"
+    store.move(own, f"{place}/{name}")
+    return f"{folder if '://' in folder else 'file://' + place}/{name}"
 
 
 def with_payloads(entries: DataFrame, source: str | F.Column, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame:
@@ -158,8 +198,8 @@ def with_payloads(entries: DataFrame, source: str | F.Column, gap: int = 1 << 16
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema) + ", payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: Source | None = None  # rows are sorted by archive
         for batch in batches:
-            opened: dict[str, Source] = {}
             paths, offsets, sizes = (batch.column(x).to_pylist() for x in ("_source", "offset", "size"))
             offsets, sizes = [int(x) for x in offsets], [int(x) for x in sizes]
             i = 0
@@ -168,11 +208,17 @@ def with_payloads(entries: DataFrame, source: str | F.Column, gap: int = 1 << 16
                 while j < len(paths) and paths[j] == paths[i] and offsets[j] <= end + gap and max(end, offsets[j] + sizes[j]) - offsets[i] <= most:
                     end = max(end, offsets[j] + sizes[j])
                     j += 1
-                data = opened.setdefault(paths[i], Source(paths[i])).get(offsets[i], end - offsets[i])
+                if opened is None or opened.path != paths[i]:
+                    if opened is not None:
+                        opened.close()
+                    opened = Source(paths[i])
+                data = opened.get(offsets[i], end - offsets[i])
                 payloads = [data[o - offsets[i] : o - offsets[i] + s] for o, s in zip(offsets[i:j], sizes[i:j], strict=True)]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(payloads, pa.binary())], names=[*names, "payload"])
                 i = j
+        if opened is not None:
+            opened.close()
 
     return rows.mapInArrow(run, schema)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from quillon import constants as c
 from quillon.errors import ArchiveError
 from quillon.functions import expressions as x
 from quillon.sources import io
+from quillon.sources.store import resolved, scratch
 
 MANIFEST_COLUMNS = ("name", "offset", "size")
 CATALOG_COLUMNS = (*MANIFEST_COLUMNS, "shard")
@@ -41,13 +41,13 @@ def read_archive(spark: SparkSession, source: str, gdal_vsi: bool = True, verify
     place = index.find(c.MANIFEST_NAME)
     if place is None:
         raise ValueError(f"{source} has no {c.MANIFEST_NAME}; its priority files are {sorted(n for n, _, _ in index.entries)}")
-    df = spark.read.parquet("file://" + io.cached_slice(opened, *place))
+    df = spark.read.parquet(io.cached_slice(opened, *place, folder=f"{scratch(spark)}/slices"))
     _required(df, MANIFEST_COLUMNS, f"the manifest of {source}")
     return with_vsi(df, F.lit(x.vsi_base(source))) if gdal_vsi else df
 
 
 def read_catalog(spark: SparkSession, source: str, gdal_vsi: bool = True) -> DataFrame:
-    df = spark.read.parquet("file://" + io.cached_slice(s, 0, s.size) if x.is_url(source) and (s := io.Source(source)) else source)
+    df = spark.read.parquet(io.cached_slice(s, 0, s.size, f"{scratch(spark)}/slices") if x.is_url(source) and (s := io.Source(source)) else source)
     _required(df, CATALOG_COLUMNS, source)
     return with_vsi(df, F.concat(F.lit(x.vsi_base_dir(source)), F.col("shard"))) if gdal_vsi else df
 
@@ -89,15 +89,17 @@ class Dataset:
             if c.COLLECTION_NAME not in files:
                 raise ArchiveError("MISSING_ENTRY", f"{source} has no {c.COLLECTION_NAME}")
         else:
-            files = [c.LEVEL_DIR + f for f in os.listdir(os.path.join(source, c.LEVEL_DIR))]
+            from pyarrow import fs
+
+            store, place = resolved(source)
+            files = [c.LEVEL_DIR + posixpath.basename(f.path) for f in store.get_file_info(fs.FileSelector(f"{place}/{c.LEVEL_DIR.rstrip('/')}"))]
         self.levels = sorted(posixpath.basename(f).removesuffix(".parquet") for f in files if f.startswith(c.LEVEL_DIR) and f.endswith(".parquet"))
 
     @property
     def collection(self) -> dict:
         if self.archive:
             return json.loads(self.opened.get(*self.index.find(c.COLLECTION_NAME)))
-        with open(os.path.join(self.source, c.COLLECTION_NAME), encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(io.Source(f"{self.source}/{c.COLLECTION_NAME}").all())
 
     def level(self, name: str) -> DataFrame:
         """A level's table with virtual paths where it has internal:offset and internal:size."""
@@ -106,8 +108,8 @@ class Dataset:
             raise ValueError(f"{self.source} has the levels {self.levels}, not {name!r}")
         path = f"{c.LEVEL_DIR}{name}.parquet"
         if not self.archive:
-            return self.spark.read.parquet(os.path.join(self.source, path))
-        df = self.spark.read.parquet("file://" + io.cached_slice(self.opened, *self.index.find(path)))
+            return self.spark.read.parquet(f"{self.source}/{path}")
+        df = self.spark.read.parquet(io.cached_slice(self.opened, *self.index.find(path), folder=f"{scratch(self.spark)}/slices"))
         if {"internal:offset", "internal:size"} <= set(df.columns):
             df = df.withColumn(c.VSI_COLUMN, x.vsi_path(F.col("`internal:offset`"), F.col("`internal:size`"), F.lit(x.vsi_base(self.source))))
         return df
@@ -125,3 +127,27 @@ def read_dataset(spark: SparkSession, source: str, level: str = "sample", idx: i
 
         df = wide(df, "parent_id", "id", c.VSI_COLUMN)
     return df
+
+
+def read_samples(spark: SparkSession, source: str, idx: int | tuple[int, int] | None = None, level: str = "sample", leaves: list[str] | None = None) -> DataFrame:
+    """One row per sample of a hierarchical dataset: idx (its place in METADATA/collection.parquet, from 0), the sample's columns and a column of virtual paths for each leaf.
+
+    idx: one sample or a half-open range of them.  Rows of the level belong to the sample whose id is their parent_id; with the leaves given no
+    extra pass finds them.
+    """
+    from quillon.operators.hierarchy import wide
+
+    data = Dataset(spark, source)
+    samples = data.level("collection")
+    samples = samples.select(F.col("_metadata.row_index").alias("idx"), *(f"`{n}`" for n in samples.columns))
+    if isinstance(idx, int):
+        samples = samples.where(F.col("idx") == idx)
+    elif idx:
+        samples = samples.where((F.col("idx") >= idx[0]) & (F.col("idx") < idx[1]))
+    paths = wide(data.level(level), "parent_id", "id", c.VSI_COLUMN, leaves)
+    return samples.join(paths, samples["id"] == paths["parent_id"], "left").drop("parent_id")
+
+
+def read_ndjson(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A manifest of samples as JSON lines; with a schema no extra pass infers one."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)

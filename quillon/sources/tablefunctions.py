@@ -1,10 +1,12 @@
 """SQL table functions: select * from read_archive('/data/ds.zip', false).
 
-They read on one task and suit small manifests; reader.read and reader.create_view give the distributed scan.
+A table function is one task.  It reads its manifest a row group at a time; for distributed scans in SQL there is the data source
+(create view ... using quillon options (path, view 'manifest')), and in Python reader.read and reader.create_view.
 """
 
 from __future__ import annotations
 
+import io as pyio
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +21,48 @@ from quillon.functions.expressions import vsi_base
 from quillon.sources import io
 
 
-def manifest_table(source: str, gdal_vsi: bool = True) -> pa.Table:
+class Ranges(pyio.RawIOBase):
+    """A stretch of an archive as a file that is read by ranges."""
+
+    def __init__(self, source: io.Source, offset: int, size: int):
+        self.source, self.offset, self.size, self.at = source, offset, size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = to + (0, self.at, self.size)[whence]
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.size - self.at if n is None or n < 0 else min(n, self.size - self.at)
+        data = self.source.get(self.offset + self.at, n) if n > 0 else b""
+        self.at += len(data)
+        return data
+
+
+def embedded(source: str) -> pq.ParquetFile:
+    """The manifest of an archive, opened in place: schema and row groups are read by ranges."""
     opened = io.Source(source)
     place = io.bootstrap(opened).find(c.MANIFEST_NAME)
     if place is None:
         raise ValueError(f"{source} has no {c.MANIFEST_NAME}")
-    table = pq.read_table(pa.BufferReader(opened.get(*place)))
+    return pq.ParquetFile(pa.PythonFile(Ranges(opened, *place), mode="r"))
+
+
+def manifest_schema(file: pq.ParquetFile, gdal_vsi: bool = True) -> pa.Schema:
+    fields = [pa.field(f.name, pa.decimal128(20, 0)) if f.name in c.RESERVED_COLUMNS else f for f in file.schema_arrow]
+    return pa.schema([*fields, pa.field(c.VSI_COLUMN, pa.string())] if gdal_vsi else fields)
+
+
+def manifest_table(table: pa.Table, source: str, gdal_vsi: bool = True) -> pa.Table:
+    """Rows of a manifest with whole decimals and, on demand, virtual paths."""
     for name in c.RESERVED_COLUMNS:
         table = table.set_column(table.schema.get_field_index(name), name, table.column(name).cast(pa.decimal128(20, 0)))
     if gdal_vsi:
@@ -39,13 +77,13 @@ class ReadArchive:
 
     @staticmethod
     def analyze(path: AnalyzeArgument, gdal_vsi: AnalyzeArgument | None = None) -> AnalyzeResult:
-        table = manifest_table(path.value, gdal_vsi is None or gdal_vsi.value)
-        return AnalyzeResult(from_arrow_schema(table.schema))
+        return AnalyzeResult(from_arrow_schema(manifest_schema(embedded(path.value), gdal_vsi is None or gdal_vsi.value)))
 
     def eval(self, path: str, gdal_vsi: bool = True) -> Iterator[tuple]:
-        table = manifest_table(path, gdal_vsi)
-        for batch in table.to_batches():
-            yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
+        file = embedded(path)
+        for k in range(file.num_row_groups):
+            for batch in manifest_table(file.read_row_group(k), path, gdal_vsi).to_batches():
+                yield from zip(*(batch.column(x).to_pylist() for x in range(batch.num_columns)), strict=True)
 
 
 def register(spark: SparkSession) -> None:
