@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon import constants as c
 from quillon.functions import expressions as x
-from quillon.operators import hierarchy, ranges, validate
+from quillon.operators import hierarchy, names, ranges, validate
 from quillon.plans import layout
 from quillon.sources import reader
 
@@ -352,11 +352,8 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with u as (select p_partkey, p_type || '.v1.tif' as name from part), n as (select *, row_number() over (partition by name order by p_partkey) as k from u)
 select p_partkey, case when k = 1 then name else regexp_replace(name, '\\.tif$', '-' || k || '.tif') end as name from n""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit(".v1.tif")).alias("name"))
-    k = F.row_number().over(W.partitionBy("name").orderBy("p_partkey"))
-    return rows.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, F.col("name")).otherwise(x.suffixed("name", "k")).alias("name"))
+    return names.unique_names(rows, "name", "p_partkey").select("p_partkey", F.col("unique_name").alias("name"))
 
 
 @query("""select doc_id, case when b < 1024 then b || ' B' else printf(case when v >= 10 then '%.1f ' else '%.2f ' end || unit, case when v >= 10 then floor(v * 10 + 0.5) / 10 else floor(v * 100 + 0.5) / 100 end) end as said
@@ -523,11 +520,15 @@ def archive_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where(~F.col("name").isin(*c.RESERVED_NAMES)).select("name", "flags", "method", "usize", "lfh_offset", "offset")
 
 
+def _all() -> None:
+    from quillon import archive_queries  # noqa: F401  registers its own
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
-
-
