@@ -1,46 +1,145 @@
-"""Spark helpers shared by the operators: inputs, shared folders, cut lineage."""
+"""Spark helpers shared by the operators: inputs, shared folders, cut lineage, new columns beside any others."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Settings under which tables are written: batches that Python holds are small, as texts can be long, and a job's shuffle files go with it.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
-#: Rows of an Arrow batch: texts can be long, and batches are held by the JVM and by Python.
-BATCH_ROWS = 1000
+
+def configure(spark: SparkSession) -> None:
+    """For applications, such as the queries and the pipeline: small Arrow batches in whatever their session runs. Operators leave sessions alone."""
+    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(k, WRITING[k])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all of its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as a job runs."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Tables of keep() that are there still.
+_left: set[str] = set()
+
+
+@atexit.register
+def _sweep() -> None:
+    """When the driver ends, tables go that results of its session were read from."""
+    from pyarrow import fs
+
+    for path in _left:
+        with suppress(OSError):
+            store, place = fs.FileSystem.from_uri(path)
+            store.delete_dir(place)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._kept = path
+    _left.add(path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of keep() that nothing reads any more; what is left goes with the driver."""
+    for df in tables:
+        delete(df.sparkSession, df._kept)
+        _left.discard(df._kept)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pre_lower(column: str) -> "F.Column":
+def pre_lower(column: str) -> Column:
     """A-Z to a-z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def place(docs: DataFrame, name: str) -> int:
+    """Where a column stands: the one of just this name, else of this name in other letters."""
+    return docs.columns.index(name) if name in docs.columns else [c.lower() for c in docs.columns].index(name.lower())
+
+
+def beside(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields: list[StructField], text: str = "text") -> DataFrame:
+    """(row, fields...): every row of docs as one struct, whatever its columns are called, and what the kernel has for its text.
+
+    Columns go by their place, so their names, repeated ones among them, cannot clash with anything; see rows_of and joined.
+    """
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    names, at = ["row", *(f.name for f in fields)], place(docs, text)
+    whole = plain.schema[at].dataType == StringType()  # else the text is sent once more, as a string
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(at) if whole else batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kernel(texts)], names=names)
+
+    row = F.struct(*plain.columns).alias("row")
+    packed = plain.select(row) if whole else plain.select(row, F.col(f"c{at}").cast("string").alias("text"))
+    return packed.mapInArrow(run, StructType([StructField("row", plain.schema, False), *fields]))
+
+
+def rows_of(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs in a table of beside(), with their own columns and values."""
+    return found.select("row.*").toDF(*docs.columns)
+
+
+def joined(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs and the new columns of beside(), which take the place of columns of the same name (in whatever letters)."""
+    new = found.columns[1:]
+    taken = {c.lower() for c in new}
+    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in taken]
+    return found.select(*(F.col(f"row.c{k}") for k in kept), *new).toDF(*(docs.columns[k] for k in kept), *new)

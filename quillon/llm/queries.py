@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, fingerprint, license, lm, neardup, packing, quality, toxicity, warc
-from quillon.llm.frames import table
+from quillon.llm import chat, decontaminate, fingerprint, frames, license, lm, neardup, packing, quality, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +21,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    frames.configure(spark)
+    return frames.table(spark, sf_dir, name)
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("benchmark_items") > 0).alias("contaminated"), "benchmark_items")
