@@ -9,8 +9,9 @@ Fitting takes at most `MAX_LABELLED` rated rows (those whose hashed doc_id is le
 on features of whole texts.  Grades are any integers; with one grade, or none, all texts get that grade (or null).
 
 Null and empty texts have the buckets of an empty text and a score like any other.  Null ratings are not
-learnt from; several ratings of a document count as their greatest.  A row per row is returned; other columns,
-whatever their names, are passed on or ignored.
+learnt from; several ratings of a document count as their greatest, and of several texts of one doc_id the one of least hash is
+learnt from.  A row per row is returned with all other columns as they are, whatever their names; only columns that have the
+results' own names are replaced, and kept_documents replaces none.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from quillon.llm import textkit as tk
+from quillon.llm.frames import beside, joined, rows_of
 from quillon.llm.toxicity import labelled_texts
 
 MAX_LABELLED = 6000
@@ -184,9 +186,9 @@ def fit(docs: DataFrame, ratings: DataFrame, limit: int = MAX_LABELLED, rating:
                     names=["doc_id", "label", "places", "vals"],
                 )
 
-    # At most `limit` rows, a few repeats, and the distinct features of each; sorted, so that sums are the same each time.
+    # At most `limit` rows and the distinct features of each; sorted, so that sums are the same each time.
     got = rows.select("doc_id", F.col("label").cast("long").alias("label"), "text").mapInArrow(run, "doc_id long, label long, places array<int>, vals array<float>")
-    got = got.orderBy("doc_id", F.xxhash64("places")).toArrow().combine_chunks()
+    got = got.orderBy("doc_id").toArrow().combine_chunks()
     label = got.column("label").to_numpy()
     grades, y = np.unique(label, return_inverse=True)
     if len(grades) < 2:
@@ -199,36 +201,35 @@ def fit(docs: DataFrame, ratings: DataFrame, limit: int = MAX_LABELLED, rating:
     return Model(grades, p[:WIDTH] * f.scale, f.thresholds(p))
 
 
-def graded(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs, expected_grade and tails (P(grade >= g) for every grade g but the least)."""
+def _graded(docs: DataFrame, model: Model, grade: str, tails: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(texts: pa.Array) -> list[pa.Array]:
         m = sent.value
-        for batch in batches:
-            keep = [c for c in batch.schema.names if c != "_text"]
-            tails = [m.tails(buf, off) for _, _, buf, off in tk.blocks(batch.column("_text"))] or [np.zeros((0, len(m.thresholds)))]
-            t = np.concatenate(tails)
-            expected = m.grades[0] + t @ np.diff(m.grades) if len(m.grades) else np.full(len(t), np.nan)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * t.shape[1]), pa.array(t.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(expected.astype(float), from_pandas=True), listed], names=[*keep, "expected_grade", "tails"])
+        t = np.concatenate([m.tails(buf, off) for _, _, buf, off in tk.blocks(texts)] or [np.zeros((0, len(m.thresholds)))])
+        expected = m.grades[0] + t @ np.diff(m.grades) if len(m.grades) else np.full(len(t), np.nan)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * t.shape[1]), pa.array(t.ravel()))
+        return [pa.array(expected.astype(float), from_pandas=True), listed]
+
+    return beside(docs, kernel, [StructField(grade, DoubleType()), StructField(tails, ArrayType(DoubleType()))])
+
 
-    own = [f for f in docs.schema if f.name not in ("expected_grade", "tails")]
-    out = StructType([*own, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])
-    return docs.select(*(f.name for f in own), F.col("text").cast("string").alias("_text")).mapInArrow(run, out)
+def graded(docs: DataFrame, model: Model, grade: str = "expected_grade", tails: str = "tails") -> DataFrame:
+    """The columns of docs and, by the given names, the expected grade and P(grade >= g) for every grade g but the least."""
+    return joined(_graded(docs, model, grade, tails), docs)
 
 
-def selected(model: Model, target: int, threshold: float = 0.5) -> "F.Column":
+def selected(model: Model, target: int, threshold: float = 0.5, tails: str = "tails") -> Column:
     """Whether P(grade >= target) reaches the threshold; where no grade lies below the target, all are."""
     below = int((model.grades < target).sum())
     if below == 0:
         return F.lit(True)
     if below == len(model.grades):
         return F.lit(False)
-    return F.col("tails")[below - 1] >= threshold
+    return F.col(tails)[below - 1] >= threshold
 
 
 def kept_documents(docs: DataFrame, ratings: DataFrame, target: int = 1, threshold: float = 0.5) -> DataFrame:
-    """The selected documents, with their own columns."""
+    """The selected documents, with their own columns and values."""
     model = fit(docs, ratings)
-    return graded(docs, model).where(selected(model, target, threshold)).select(*docs.columns)
+    return rows_of(_graded(docs, model, "grade", "tails").where(selected(model, target, threshold)), docs)
