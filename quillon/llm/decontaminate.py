@@ -11,12 +11,15 @@ there, on diagonals that differ by at most e.  So:
 3. Hits are counted by document, window and overlapping diagonal bands of 2 (e + 1); bands that meet the bound stay.
 4. Each is verified by alignment in the band (semi-global edit distance at most e).
 
-Every q-gram, occurrence and stretch counts; nothing is sampled.  Windows are broadcast in blocks of about
-`BLOCK_BYTES`, however long the benchmark is, and each block is a pass of its own over the rows.
+Items under `LEAST` normalised bytes, which the lemma allows no edit, count where they occur in full, from word bound to word bound.
 
-Null and empty texts are clean.  Null items, and items under `LEAST` normalised bytes (which occur by chance),
-are not searched.  A window that several items have is searched
-once and counts for all of them; a null item_id is -1.  Rows are returned one for one with their own columns.
+Every q-gram, occurrence and stretch counts; nothing is sampled.  A window that several items have is searched once and counts for all of
+them.  Windows are broadcast in blocks of about `BLOCK_BYTES`.  A benchmark of one block is one pass over the rows; of a longer one
+every block is a job of its own that writes the windows it finds, by hash of the text, and these are joined to their items and to the rows.
+
+Null and empty texts are clean.  Null items, and items without a letter, digit or character beyond ASCII, are not searched.  A null item_id
+is listed as a number below all others, -1 at most.  Rows are returned one for one with all other columns as they are, whatever their names; only a
+column that has the result's own name is replaced, and clean_documents replaces none.
 """
 
 from __future__ import annotations
@@ -28,18 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField
 
 from quillon.llm import textkit as tk
+from quillon.llm.frames import beside, forget, joined, keep, place, rows_of
 
 Q = 12
 WINDOW, STRIDE = 96, 48
 #: The least piece of a longer item that counts.
 PASSAGE, PASSAGE_STRIDE = 64, 4
+#: Shorter items are searched exactly.
 LEAST = 24
 #: One edit is allowed for so many bytes of a window.
 PER_EDIT = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+#: Texts with hits are broadcast up to this number, else joined by a shuffle.
+BROADCAST_TEXTS = 200_000
 FLAG_BITS = 20
 
 _GAP = np.ones(256, bool)
@@ -84,7 +91,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block of items, and their q-grams."""
+    """Windows of a block of items, the q-grams of the long ones, and the short ones by size."""
 
     item: np.ndarray
     text: np.ndarray  # n x WINDOW, padded
@@ -94,6 +101,7 @@ class Index:
     post_at: np.ndarray  # of each q-gram: where its postings begin
     post_window: np.ndarray
     post_place: np.ndarray
+    short: dict[int, tuple[tk.HashTable, np.ndarray]]  # size: hashes, and the window of each
 
     @staticmethod
     def of(windows: list[tuple[int, bytes]]) -> Index:
@@ -103,31 +111,66 @@ class Index:
             text[k, : len(w)] = np.frombuffer(w, np.uint8)
         flat = np.concatenate([np.frombuffer(w, np.uint8) for _, w in windows])
         start = np.concatenate([[0], np.cumsum(size)])
-        count = size - Q + 1
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        window = np.repeat(np.arange(len(windows)), count)
-        grams = gram_hashes(flat)[start[window] + place]
+        long = np.flatnonzero(size >= LEAST)
+        count = size[long] - Q + 1
+        place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int16)
+        window = np.repeat(long, count).astype(np.int32)
+        grams = gram_hashes(flat)[start[window] + place] if len(window) else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         keys, first = np.unique(grams[order], return_index=True)
         flags = np.zeros(1 << FLAG_BITS, bool)
         flags[(keys >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
-        return Index(np.array([i for i, _ in windows], np.int64), text, size, tk.HashTable(keys), flags, np.append(first, len(order)), window[order], place[order])
+        short = {}
+        for s in np.unique(size[size < LEAST]).tolist():
+            own = np.flatnonzero(size == s)
+            short[s] = tk.HashTable(tk.span_hashes(flat, start[own], start[own] + s)), own
+        return Index(np.array([i for i, _ in windows], np.int64), text, size, tk.HashTable(keys), flags, np.append(first, len(order)), window[order], place[order], short)
+
+
+def short_matches(index: Index, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Rows (document, window) of the short windows that stand between word bounds."""
+    if not index.short or not len(data):
+        return []
+    starts, _, at = tk.word_bounds(data, off)
+    doc = tk.owners(at)
+    out = []
+    for s, (table, own) in index.short.items():
+        end = starts + s
+        fits = end <= off[doc + 1]
+        fits[fits] = (end[fits] == off[doc[fits] + 1]) | (data[np.minimum(end[fits], len(data) - 1)] == 32)
+        a = starts[fits]
+        k = table.find(tk.span_hashes(data, a, a + s))
+        a, d, w = a[k >= 0], doc[fits][k >= 0], own[k[k >= 0]]
+        same = (data[a[:, None] + np.arange(s)] == index.text[w, :s]).all(axis=1)
+        out.append(np.stack([d[same], w[same]], axis=1))
+    return out
 
 
 def matches(index: Index, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, window) of all verified occurrences in a normalised block; distinct."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = short_matches(index, data, off)
+    found += [verified(index, data, off, *banded(index, *hits)) for hits in dense_hits(index, data, off)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def dense_hits(index: Index, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, q-gram, document) of q-grams of windows that lie as close as any window needs, in stretches."""
+    if not len(index.table.keys):
+        return
     h = gram_hashes(data)
     at = np.flatnonzero(index.flags[(h >> np.uint64(64 - FLAG_BITS)).astype(np.int64)])
     gram = index.table.find(h[at])
     doc = np.searchsorted(off, at, "right") - 1
     real = (gram >= 0) & (at + Q <= off[doc + 1])
     at, gram, doc = at[real], gram[real], doc[real]
-    sizes = np.unique(index.size)
+    sizes = np.unique(index.size[index.size >= LEAST])
     least = min(least_shared(int(w)) for w in sizes)
     reach = max(int(w) + 2 * edits(int(w)) for w in sizes)
     if len(at) < least:
-        return none
+        return
     # Stretches of `reach` bytes with `least` hits: the hit opens or lies within such a stretch.
     ends = np.searchsorted(at, at + reach, "right")
     opens = ends - np.arange(len(at)) >= least
@@ -136,13 +179,8 @@ def matches(index: Index, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
     np.add.at(cover, ends[opens], -1)
     dense = np.cumsum(cover[:-1]) > 0
     at, gram, doc = at[dense], gram[dense], doc[dense]
-    found: list[np.ndarray] = []
     for part in pieces(index, gram):
-        found.append(verified(index, data, off, *banded(index, at[part], gram[part], doc[part])))
-    if not found:
-        return none
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        yield at[part], gram[part], doc[part]
 
 
 def pieces(index: Index, gram: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
@@ -218,46 +256,82 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = normalised(buf, off)
             for r in range(lo, hi):
                 text = data[at[r - lo] : at[r - lo + 1]].tobytes().strip()
-                if len(text) >= LEAST:
-                    rows += [(batch.column(0)[r].as_py(), w) for w in windows_of(text) + windows_of(text, PASSAGE, PASSAGE_STRIDE)]
+                if text:
+                    rows += [(batch.column(0)[r].as_py(), w) for w in {*windows_of(text), *windows_of(text, PASSAGE, PASSAGE_STRIDE)}]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.binary())], names=["item_id", "win"])
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of docs and benchmark_items: ascending item_ids of which a window occurs in the text."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    windows = items.mapInArrow(_windows, "item_id long, win binary").groupBy("win").agg(F.collect_set(F.coalesce("item_id", F.lit(-1))).alias("item_ids"))
-    total = windows.agg(F.sum(F.length("win") + 8 * F.size("item_ids"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = docs.drop("benchmark_items").withColumn("benchmark_items", F.array().cast("array<long>"))
-    schema = StructType([*out.drop("benchmark_items").schema, StructField("benchmark_items", ArrayType(LongType()))])
+def found_in(index: Index, texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(row, window)."""
+    for lo, _, buf, off in tk.blocks(texts):
+        for d, w in zip(*matches(index, *normalised(buf, off)), strict=True):
+            yield lo + int(d), int(w)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, block_bytes: int, name: str) -> DataFrame:
+    """(row, name) as beside() has them."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    nameless = min(items.agg(F.min("item_id")).first()[0] or 0, 0) - 1
+    items = items.where("text is not null").fillna(nameless, ["item_id"])
+    windows = keep(items.mapInArrow(_windows, "item_id long, win binary").distinct(), "benchmark-windows")
+    size = windows.groupBy("win").agg(F.count("*").alias("n")).agg(F.sum(F.length("win")).alias("text"), F.sum(8 * F.col("n")).alias("ids")).first()
+    field = StructField(name, ArrayType(LongType()))
+    if (size["text"] or 0) + (size["ids"] or 0) <= block_bytes:
+        held: dict[bytes, set[int]] = {}
+        for r in windows.collect():  # at most block_bytes
+            held.setdefault(bytes(r["win"]), set()).add(r["item_id"])
+        forget(windows)
+        order = sorted(held)
+        sent = spark.sparkContext.broadcast((Index.of(list(enumerate(order))), [held[w] for w in order]) if order else None)
+
+        def kernel(texts: pa.Array) -> list[pa.Array]:
+            ids: list[set[int]] = [set() for _ in range(len(texts))]
+            if sent.value:
+                index, of = sent.value
+                for d, w in found_in(index, texts):
+                    ids[d] |= of[w]
+            return [pa.array([sorted(x) for x in ids], pa.list_(pa.int64()))]
+
+        return beside(docs, kernel, [field])
+    keyed = lambda text: (F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = F.col(f"c{place(docs, 'text')}").cast("string")
+    blocks = -(-size["text"] // block_bytes)
+    hits: list[DataFrame] = []
     for k in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k).orderBy("win").collect()  # about block_bytes
-        if rows:
-            index = Index.of([(w, bytes(r["win"])) for w, r in enumerate(rows)])
-            sent = docs.sparkSession.sparkContext.broadcast((index, [r["item_ids"] for r in rows]))
-            out = out.withColumn("_text", F.col("text").cast("string")).mapInArrow(_marker(sent), schema)
-    return out.withColumn("benchmark_items", F.array_sort(F.array_distinct("benchmark_items")))
-
-
-def _marker(sent):
+        order = sorted(bytes(r["win"]) for r in windows.select("win").distinct().where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k).collect())  # about block_bytes
+        if order:
+            block = spark.sparkContext.broadcast(Index.of(list(enumerate(order))))
+            hits.append(keep(plain.select(*keyed(text), text.alias("text")).mapInArrow(_hits(block), "_a long, _b long, win binary").distinct(), "benchmark-hits"))
+            block.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    items_of = every.join(windows, "win").select("_a", "_b", "item_id").distinct().groupBy("_a", "_b")
+    items_of = keep(items_of.agg(F.array_sort(F.collect_set("item_id")).alias(name)), "benchmark-texts")
+    few = items_of.count() <= BROADCAST_TEXTS
+    forget(windows, *hits)
+    rows = plain.select(F.struct(*plain.columns).alias("row"), *keyed(text))
+    return rows.join(F.broadcast(items_of) if few else items_of, ["_a", "_b"], "left").select("row", F.coalesce(name, F.array().cast("array<long>")).alias(name))
+
+
+def _hits(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, item_ids = sent.value
         for batch in batches:
-            items: list[list[int]] = [x or [] for x in batch.column("benchmark_items").to_pylist()]
-            for lo, _, buf, off in tk.blocks(batch.column("_text")):
-                data, at = normalised(buf, off)
-                found: dict[int, set[int]] = {}
-                for d, w in zip(*matches(index, data, at), strict=True):
-                    found.setdefault(lo + int(d), set()).update(item_ids[w])
-                for d, ids in found.items():
-                    items[d] = sorted(ids.union(items[d]))
-            names = [c for c in batch.schema.names if c not in ("_text", "benchmark_items")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(items, pa.list_(pa.int64()))], names=[*names, "benchmark_items"])
+            pairs = list(found_in(sent.value, batch.column("text")))
+            at = pa.array([d for d, _ in pairs], pa.int64())
+            found = [sent.value.text[w, : sent.value.size[w]].tobytes() for _, w in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("_a").take(at), batch.column("_b").take(at), pa.array(found, pa.binary())], names=["_a", "_b", "win"])
 
     return run
 
 
+def marked(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "benchmark_items") -> DataFrame:
+    """The columns of docs and, by the given name, the ascending item_ids of which a window occurs in the text."""
+    return joined(_marked(docs, benchmark, block_bytes, name), docs)
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no window of the benchmark occurs, with their own columns."""
-    return marked(docs, benchmark).where(F.size("benchmark_items") == 0).select(*docs.columns)
+    """Documents in which no window of the benchmark occurs, with their own columns and values."""
+    return rows_of(_marked(docs, benchmark, BLOCK_BYTES, "items").where(F.size("items") == 0), docs)
