@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import keep, shared_dir, shuffle_width
+from quillon.llm.frames import forget, keep, shared_dir, shuffle_width
 
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+OPENING = b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
@@ -56,11 +57,11 @@ def header_value(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; with refers_to a revisit, which leaves the payload out."""
+def record_pieces(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> list[bytes]:
+    """The parts of one record; with refers_to a revisit, which leaves the payload out."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block = [http] if revisit else [http, payload]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -70,14 +71,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{page_urn(refers_to)}>"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
+        f"Content-Length: {sum(map(len, block))}",
     ]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return ["\r\n".join(lines).encode() + b"\r\n\r\n", *block, b"\r\n\r\n"]
 
 
-def member(data: bytes, level: int = 6) -> bytes:
+def record(*of) -> bytes:
+    return b"".join(record_pieces(*of))
+
+
+def member_pieces(pieces: list[bytes], level: int = 6) -> Iterator[bytes]:
+    """One gzip member, made piece by piece."""
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    for piece in pieces:
+        yield z.compress(piece)
+    yield z.flush()
+
+
+def member(data: bytes, level: int = 6) -> bytes:
+    return b"".join(member_pieces([data], level))
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -101,9 +113,10 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
                     name, size, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
-                z = member(record(page.as_py(), url.as_py(), payload.as_py(), digest, first.as_py()))
-                out.write(z)
-                size, n = size + len(z), n + 1
+                for z in member_pieces(record_pieces(page.as_py(), url.as_py(), payload.as_py(), digest, first.as_py())):
+                    out.write(z)
+                    size += len(z)
+                n += 1
                 if size >= file_bytes:
                     out.close()
                     done.append((name, size, n))
@@ -114,77 +127,84 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
         cols = list(zip(*done, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{c}" for c in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["file", "size", "records"])
 
-    return keep(rows.mapInArrow(run, "file string, size long, records long"), "warc-files")
+    files = keep(rows.mapInArrow(run, "file string, size long, records long"), "warc-files")
+    forget(twice)
+    return files
 
 
 class Members:
-    """Gzip members of a file that start in [start, end) and decode to WARC records."""
+    """Gzip members of a file that start in [start, end) and decode to WARC records. Of the file a chunk is held at a time."""
 
     def __init__(self, source, size: int, start: int, end: int):
         self.source, self.size, self.start, self.end = source, size, start, end
         self.base, self.data = start, b""
 
-    def _fill(self, upto: int) -> None:
-        """Have the bytes up to a place of the file, or to its end."""
-        while self.base + len(self.data) < min(upto, self.size):
-            self.source.seek(self.base + len(self.data))
-            more = self.source.read(min(CHUNK, self.size - self.base - len(self.data)))
-            if not more:
-                break
-            self.data += more
+    def _have(self, place: int) -> bool:
+        """Hold the bytes at a place; false at the end of the file."""
+        if not self.base <= place < self.base + len(self.data):
+            self.source.seek(place)
+            self.base, self.data = place, self.source.read(max(0, min(CHUNK, self.size - place)))
+        return len(self.data) > 0
 
     def _decoded(self, place: int) -> tuple[bytes, int] | None:
         """The record at a place and the place after its member; None if there is no such member."""
-        z, at, out = zlib.decompressobj(31), place, b""
+        z, at, step = zlib.decompressobj(31), place, 4096
         parts: list[bytes] = []
+        told = b""
         while not z.eof:
-            self._fill(at + 65536)
-            piece = self.data[at - self.base : at - self.base + 65536]
-            if not piece:
+            if not self._have(at):
                 return None
+            piece = self.data[at - self.base : at - self.base + step]
             try:
                 parts.append(z.decompress(piece))
             except zlib.error:
                 return None
-            at += len(piece)
-            if len(out) < 7:
-                out = b"".join(parts)[:7]
-                if out != b"WARC/1."[: len(out)]:
+            at, step = at + len(piece), min(2 * step, 65536)
+            if len(told) < len(OPENING):
+                told = (told + parts[-1])[: len(OPENING)]
+                if not OPENING.startswith(told):
                     return None
-        whole = b"".join(parts)
-        return (whole, at - len(z.unused_data)) if whole.startswith(b"WARC/1.") else None
+        return (b"".join(parts), at - len(z.unused_data)) if told == OPENING else None
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         place = self.start
-        while place < self.end:
-            self._fill(min(self.end, place + CHUNK) + len(MAGIC) - 1)
+        while place < self.end and self._have(place):
             found = self.data.find(MAGIC, place - self.base)
-            have = self.base + len(self.data)
             if found < 0:
-                place = max(place, min(have, self.size) - len(MAGIC) + 1)
-                if have >= min(self.end + len(MAGIC) - 1, self.size):
+                have = self.base + len(self.data)
+                if have >= self.size:
                     return
-            else:
-                place = self.base + found
-                if place >= self.end:
-                    return
-                got = self._decoded(place)
-                if got:
-                    yield place, got[0]
-                    place = got[1]
-                else:
-                    place += 1
-            if place - self.base > CHUNK:
-                self.data = self.data[place - self.base :]
-                self.base = place
-
-
-def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+                place = max(place + 1, have - len(MAGIC) + 1)
+                if place + len(MAGIC) > have:  # the magic may go on behind the chunk
+                    self.base, self.data = place, b""
+                continue
+            place = self.base + found
+            if place >= self.end:
+                return
+            got = self._decoded(place)
+            if got:
+                yield place, got[0]
+            place = got[1] if got else place + 1
+
+
+def parsed(raw: bytes) -> tuple[dict[str, str], memoryview]:
     """Headers (names in lower case) and block."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    at = raw.find(b"\r\n\r\n")
+    at = len(raw) if at < 0 else at
+    lines = raw[:at].decode("utf-8", "replace").split("\r\n")[1:]
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return headers, rest[: int(headers.get("content-length", len(rest)))]
+    block = memoryview(raw)[at + 4 :]
+    return headers, block[: int(headers.get("content-length", len(block)))]
+
+
+def http_parts(block: memoryview) -> tuple[bytes, memoryview]:
+    """Header lines and payload of an HTTP message."""
+    head = bytes(block[:CHUNK])
+    at = head.find(b"\r\n\r\n")
+    if at < 0 and len(block) > CHUNK:
+        head = bytes(block)
+        at = head.find(b"\r\n\r\n")
+    return (head, block[len(block) :]) if at < 0 else (head[:at], block[at + 4 :])
 
 
 RECORDS = "file string, place long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -204,7 +224,7 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
                 kind = h.get("warc-type")
                 if kind not in ("response", "revisit"):
                     continue
-                http, _, payload = block.partition(b"\r\n\r\n")
+                http, payload = http_parts(block)
                 told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
                 digest = h.get("warc-payload-digest", "").rpartition(":")[2]
                 if kind == "response":
@@ -214,7 +234,7 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
                     digest, n = own, len(payload)
                 else:
                     n = int(told[1]) if told else None
-                yield file, place, kind, from_urn(h.get("warc-record-id")), h.get("warc-target-uri"), digest, n, from_urn(h.get("warc-refers-to")), payload if payloads and kind == "response" else None
+                yield file, place, kind, from_urn(h.get("warc-record-id")), h.get("warc-target-uri"), digest, n, from_urn(h.get("warc-refers-to")), bytes(payload) if payloads and kind == "response" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
