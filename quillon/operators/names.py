@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,26 +24,21 @@ def family(name: Column) -> Column:
     return F.regexp_replace(name, _NUMBERED, "$1$2$4")
 
 
-def add_suffix(name: str, n: int) -> str:
-    head, slash, leaf = name.rpartition("/")
-    dot = leaf.rfind(".")
-    leaf = f"{leaf[:dot]}-{n}{leaf[dot:]}" if dot > 0 else f"{leaf}-{n}"
-    return head + slash + leaf
+def add_suffix(name: str, k: int) -> str:
+    """The k-th form of a name, as expressions.suffixed has it; the first is the name itself."""
+    if k == 1:
+        return name
+    return re.sub(r"(?<=[^/])(\.[^./]*)?$", rf"-{k}\1", name, count=1) if name else f"-{k}"
 
 
 def renamed(names: list[str]) -> list[str]:
-    """Unique names of rows in order, one after the other."""
-    seen: set[str] = set()
-    following: dict[str, int] = {}  # all lower numbers of a name are taken
-    out = []
+    """Unique names of rows in order: each row takes the first form of its name that is free."""
+    forms: dict[str, Iterator[str]] = {}  # of each name, those that were not tried yet
+    taken: dict[str, None] = {}  # in order
     for name in names:
-        candidate, n = name, following.get(name, 2)
-        while candidate in seen:
-            candidate, n = add_suffix(name, n), n + 1
-        following[name] = n
-        seen.add(candidate)
-        out.append(candidate)
-    return out
+        left = forms.setdefault(name, map(functools.partial(add_suffix, name), itertools.count(1)))
+        taken[next(form for form in left if form not in taken)] = None
+    return list(taken)
 
 
 def unique_names(rows: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
