@@ -241,6 +241,46 @@ def levels_archive_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(index, placed["name"] == index["i"], "left").select("name", F.col("i").isNotNull().alias("indexed"), "place")
 
 
+def _served(spark: SparkSession, path: str) -> str:
+    """The URL of a file that the driver serves by ranges for as long as it runs."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Ranges(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            source = io.Source(path)
+            first, _, last = self.headers["Range"].removeprefix("bytes=").partition("-")
+            end = min(int(last) + 1, source.size)
+            data = source.get(int(first), end - int(first))
+            source.close()
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {first}-{end - 1}/{source.size}")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_HEAD(self) -> None:
+            self.send_response(200)
+            self.send_header("Content-Length", str(io.Source(path).size))
+            self.end_headers()
+
+        def log_message(self, *of) -> None:
+            pass
+
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = ThreadingHTTPServer((host, 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return f"http://{host}:{server.server_port}/ds.zip"
+
+
+@query(FILES + 'select name, "offset", size, md5(text) as digest from flat')
+def http_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive behind HTTP: index and manifest by range requests, payloads by those of the executors."""
+    url = _served(spark, writer.create(f"{_folder(spark)}/ds.zip", files(spark, sf_dir)))
+    found = whole(reader.read(spark, url)).where(F.col(f"`{c.VSI_COLUMN}`").endswith("," + x.vsi_base(url)))
+    return io.with_payloads(found.select("name", "offset", "size"), url).select("name", "offset", "size", F.md5("payload").alias("digest"))
+
+
 # Catalogs and datasets ---------------------------------------------------------------------------------------------
 
 
