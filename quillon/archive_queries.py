@@ -268,7 +268,11 @@ def _served(spark: SparkSession, path: str) -> str:
             pass
 
     host = spark.conf.get("spark.driver.host", "127.0.0.1")
-    server = ThreadingHTTPServer((host, 0), Ranges)
+    try:
+        server = ThreadingHTTPServer((host, 0), Ranges)
+    except OSError:  # a name that this machine does not have
+        host = "127.0.0.1"
+        server = ThreadingHTTPServer((host, 0), Ranges)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return f"http://{host}:{server.server_port}/ds.zip"
 
