@@ -13,20 +13,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quillon.llm.textkit import trim
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Settings under which tables are written: batches that Python holds are small, as texts can be long, and a job's shuffle files go with it.
-WRITING = {
+#: Texts can be long: batches that scans and Python hold are small.
+SMALL_BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
+}
+#: Settings under which tables are written: a job's shuffle files go with it.
+WRITING = SMALL_BATCHES | {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
 def configure(spark: SparkSession) -> None:
-    """For applications, such as the queries and the pipeline: small Arrow batches in whatever their session runs. Operators leave sessions alone."""
-    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
-        spark.conf.set(k, WRITING[k])
+    """For applications, such as the queries and the pipeline: small batches in whatever their session runs. Operators leave sessions alone."""
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,12 +82,12 @@ def _sweep() -> None:
             store.delete_dir(place)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives lost executors. by: a column of few values that are files of their own, see forget_part."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     with settings(spark, WRITING):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._kept = path
     _left.add(path)
@@ -94,6 +101,12 @@ def forget(*tables: DataFrame) -> None:
         _left.discard(df._kept)
 
 
+def forget_part(df: DataFrame, by: str, *values: int) -> None:
+    """Delete the rows of some values of the column that a table was kept by; nothing may ask for them any more."""
+    for value in values:
+        delete(df.sparkSession, f"{df._kept}/{by}={value}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
@@ -126,6 +139,7 @@ def beside(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields
         for batch in batches:
             texts = batch.column(0).field(at) if whole else batch.column(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *kernel(texts)], names=names)
+        trim()
 
     row = F.struct(*plain.columns).alias("row")
     packed = plain.select(row) if whole else plain.select(row, F.col(f"c{at}").cast("string").alias("text"))

@@ -242,6 +242,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array((own[first]).astype(np.int32)), pa.array(np.diff(np.append(first, len(word))))],
                 names=["context", "word", "cell", "n"],
             )
+    tk.trim()
 
 
 def _column(rows: "pa.Table", name: str) -> np.ndarray:
@@ -303,23 +304,23 @@ class Gathered:
         cells = cells.select("context", "word", F.col("cell").cast("int"), F.col("n").cast("long"))
         added = keep(cells.repartition(self.TASKS, "context", "word").mapInArrow(_added, ADDED), "toxicity-counts")
 
-        def part(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def part(k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = added.where(F.col("kind") == k).select("a", "b", "n").toArrow()  # of the sample only
-            return _column(own, "a").view(np.uint64), _column(own, "b").view(np.uint64), own.column("n").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+            n = own.column("n").combine_chunks().flatten().to_numpy() if len(own) else np.zeros(0, np.int32)
+            return _column(own, "a").view(np.uint64), _column(own, "b").view(np.uint64), n.reshape(len(own), width)
 
         def summed(k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
             """Keys, and the sums of what tasks have of them."""
-            key, _, n = part(k)
+            key, _, n = part(k, width)
             keys, place = np.unique(key, return_inverse=True)
             total = np.zeros((len(keys), width), np.int32)
-            if len(key):
-                np.add.at(total, place, n)
+            np.add.at(total, place, n)
             return keys, total
 
-        self.context, self.word, self.n = part(BIGRAM)
+        self.context, self.word, self.n = part(BIGRAM, 2 * FOLDS)
         self.contexts, self.context_n = summed(CONTEXT, 2 * FOLDS)
         self.words, self.types = summed(WORD, 3 * len(LEFT_OUT))
-        self.seen = part(SEEN)[2].sum(axis=0).reshape(len(LEFT_OUT), 2, 2)
+        self.seen = part(SEEN, 4 * len(LEFT_OUT))[2].sum(axis=0).reshape(len(LEFT_OUT), 2, 2)
         forget(added)
 
     def without(self, fold: int | None) -> Counts:
@@ -372,10 +373,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label: st
 def _unseen(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in tk.blocks(batch.column("text")):
+            for lo, hi, buf, off in tk.blocks(batch.column("text"), tk.BLOCK // 8):  # a column for each choice
                 x = evidence(sent.value, buf, off).reshape(hi - lo, -1)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), listed], names=["doc_id", "label", "x"])
+        tk.trim()
 
     return run
 
