@@ -9,7 +9,7 @@ found.  The stages:
    fills bin j from all shingles.  So every coordinate fills and estimates concentrate.  56 bands of 6 of the 1024
    coordinates miss a pair at 0.75 with probability (1 - 0.75^6)^56 < 2e-5; four bits of each coordinate are kept
    to screen pairs.
-2. Classes.  Equal sets are one class, whose representative is the least doc_id; copies are never paired.
+2. Classes.  Equal sets are one class, a node of the graph; nodes are numbered in the order of their least doc_ids, and copies are never paired.
 3. Stars.  Each bucket of a band compares its members with its least member only: pairs are linear in the members.
 4. The rest.  In buckets that hold several components after that, members outside the least member's component
    are compared with members of other components.  Sizes and kept bits screen the pairs inside the join
@@ -22,8 +22,8 @@ found.  The stages:
 Sets are of 64-bit hashes; two different shingles of a pair of documents collide with probability below 1e-9.
 
 Null texts and texts without words have empty sets, are linked with nothing and stay.  Rows with a null
-doc_id have no component and stay.  Rows that share a doc_id count as one document.  Empty tables give empty
-results; other columns are ignored.
+doc_id have no component and stay.  Rows that share a doc_id are linked by their texts alone, like any others; a component is named
+by the least doc_id of its rows.  Empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.frames import keep, shuffle_width
+from quillon.llm.frames import forget, keep, place, shuffle_width
 
 WORDS = 5
 #: Linked where 100 * intersection >= 75 * union.
@@ -130,24 +130,31 @@ def bit_planes(sketch: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, class1 long, class2 long, bands array<long>, bits array<long>"
+SKETCH = "doc_id long, h long, n_shingles long, class1 long, class2 long, bands array<long>, bits array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, off in tk.blocks(batch.column(1)):
+        for lo, hi, buf, off in tk.blocks(batch.column("text")):
             sets, at = shingle_sets(buf, off)
             sketch = sketches(sets, at)
             listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             classes = [pa.array(tk.segment_sums(tk.mix(sets ^ _ODD[j]), at).view(np.int64)) for j in (8, 9)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), *classes, listed(band_keys(sketch)), listed(bit_planes(sketch))],
-                names=["doc_id", "n_shingles", "class1", "class2", "bands", "bits"],
+                [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h")] + [pa.array(np.diff(at)), *classes, listed(band_keys(sketch)), listed(bit_planes(sketch))],
+                names=[c.split()[0] for c in SKETCH.split(", ")],
             )
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, h (of the text) and text: a distinct text of a doc_id is told by (doc_id, h)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch, SKETCH)
+    """A sketch of every row, with a number of its own (row) once it is written."""
+    return texts_of(docs).mapInArrow(_sketch, SKETCH).withColumn("row", F.monotonically_increasing_id())
 
 
 def alike_in_size(a: str, b: str) -> "F.Column":
@@ -194,104 +201,164 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. pairs is a written table of distinct pairs."""
-    spark = docs.sparkSession
+def files_for(rows: int, of: int = 1_000_000) -> int:
+    return rows // of + 1
+
+
+def verified(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are linked. pairs is a written table of distinct pairs; texts: node and text of each of their nodes."""
+    spark = pairs.sparkSession
+    files = files_for(pairs.count())
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    chunks = keep(chunks, name + "-chunks")
-    members = pairs.join(chunks, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b", F.lit(False).alias("is_centre"))
-    centres = chunks.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.col("a").alias("b"), F.lit(True).alias("is_centre"))
-    wanted = keep(members.unionByName(centres), name + "-wanted")
-    ids = keep(wanted.select("doc_id").distinct(), name + "-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    rows = wanted.join(texts, "doc_id").select("a", "chunk", "b", "is_centre", "text")
+    chunks = keep(chunks.coalesce(files), name + "-chunks")
+    members = pairs.join(chunks, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b", F.lit(False).alias("is_centre"))
+    centres = chunks.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.col("a").alias("b"), F.lit(True).alias("is_centre"))
+    rows = members.unionByName(centres).join(texts, "node").select("a", "chunk", "b", "is_centre", "text")
     rows = rows.repartition(shuffle_width(spark), "a", "chunk").sortWithinPartitions("a", "chunk", F.desc("is_centre"))
-    return keep(rows.mapInArrow(_verify, "a long, b long").distinct(), name)
+    out = keep(rows.mapInArrow(_verify, "a long, b long").distinct().coalesce(files), name)
+    forget(chunks)
+    return out
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the least node of the component of every node that has an edge. edges: columns a, b."""
-    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    """(node, root): the least node of the component of every node that has an edge. edges: a written table with columns a, b."""
+    files = files_for(edges.count())
+    kept = lambda df: keep(df.coalesce(files), name)
+    edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:
         # Large star: neighbours above a node go to the least of its neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = keep(both.groupBy("a").agg(F.min("b").alias("m")), name)
-        edges = keep(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct(), name)
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")))
+        large = kept(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
+        forget(edges, least)
         # Small star: a node and its neighbours below it go to the least of them.
-        least = keep(edges.groupBy("a").agg(F.min("b").alias("m")), name)
-        down = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        edges = keep(down.where("a <> b").distinct(), name)
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m")))
+        down = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges = kept(down.where("a <> b").distinct())
+        forget(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._kept = edges._kept
+            return out
         state = now
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def linked(docs: DataFrame) -> DataFrame:
+    """A row per row of docs: doc_id, h, n_shingles, root (its component's node, null without one) and component_id."""
     table = keep(sketch_table(docs), "sketches")
     some = table.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("class1", "class2").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes, "classes")
-    reps = some.join(classes, ["class1", "class2"]).where("doc_id = rep").dropDuplicates(["doc_id", "class1", "class2"]).select("doc_id", "n_shingles", "bands", "bits")
+    # A node is a distinct set; nodes are numbered in the order of least doc_ids. Only numbers are aggregated, so in hash tables; rows of a class have the same sketch.
+    classes = some.groupBy("class1", "class2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    classes = keep(classes.orderBy("rep", "class1", "class2").withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = table.join(classes.select("row", "node"), "row").select("node", "doc_id", "h", F.col("n_shingles").alias("n"), "bands", "bits")
     reps = keep(reps, "representatives")
-    entries = reps.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members"))
-    buckets = keep(buckets.where("members > 1").select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("centre_n"), "members"), "buckets")
+    entries = reps.select(F.explode("bands").alias("key"), "node", "n")
+    buckets = entries.groupBy("key").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n"), F.count("*").alias("members")).where("members > 1")
+    buckets = keep(buckets, "buckets")
     entries = keep(entries.join(buckets, "key"), "entries")
-    slim = reps.select("doc_id", "bits", "bands")
-    stars = entries.where("doc_id <> centre").where(alike_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(slim.select(F.col("doc_id").alias("a"), F.col("bits").alias("x")), "a").join(slim.select(F.col("doc_id").alias("b"), F.col("bits").alias("y")), "b")
+    forget(buckets)
+    bits = reps.select("node", "bits")
+    stars = entries.where("node <> centre").where(alike_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
     stars = keep(stars.where(different("x", "y") <= MOST_DIFFERENT).select("a", "b").distinct(), "stars")
-    links = verified(docs, stars, "star-links")
+    links = verified(wanted_texts(docs, some, reps, stars), stars, "star-links")
     found = components(links, "star-components")
+    forget(links)
 
     # Buckets that still hold several components.
     open_ = entries.where("members > 2")
-    label = found.select(F.col("node").alias("doc_id"), F.col("root").alias("root"))
-    open_ = open_.join(label, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
-    open_ = open_.join(label.select(F.col("doc_id").alias("centre"), "root"), "centre", "left").withColumn("centre_comp", F.coalesce("root", "centre"))
-    open_ = keep(open_.select("key", "doc_id", "n", "comp", "centre", (F.col("comp") != F.col("centre_comp")).alias("outside")), "open")
-    outside = open_.where("outside").join(slim, "doc_id")
-    keys = keep(outside.select("key").distinct(), "open-keys")
-    others = open_.where("doc_id <> centre").join(keys, "key", "left_semi").join(slim, "doc_id")
-    x = keep(outside.select("key", *(F.col(c).alias("x_" + c) for c in ("doc_id", "n", "comp", "bits", "bands"))), "open-x")
-    y = keep(others.select("key", *(F.col(c).alias("y_" + c) for c in ("doc_id", "n", "comp", "bits", "bands", "outside"))), "open-y")
+    open_ = open_.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    open_ = open_.join(found.select(F.col("node").alias("centre"), "root"), "centre", "left").withColumn("centre_comp", F.coalesce("root", "centre"))
+    open_ = keep(open_.select("key", "node", "n", "comp", "centre", (F.col("comp") != F.col("centre_comp")).alias("outside")), "open")
+    forget(entries)
+    keys = keep(open_.where("outside").select("key").distinct(), "open-keys")
+    slim = reps.select("node", "bits", "bands")
+    outside = open_.where("outside").join(slim, "node")
+    others = open_.where("node <> centre").join(keys, "key", "left_semi").join(slim, "node")
+    x = keep(outside.select("key", *(F.col(c).alias("x_" + c) for c in ("node", "n", "comp", "bits", "bands"))), "open-x")
+    y = keep(others.select("key", *(F.col(c).alias("y_" + c) for c in ("node", "n", "comp", "bits", "bands", "outside"))), "open-y")
     fits = (
         (x["key"] == y["key"])
         & (F.col("x_comp") != F.col("y_comp"))
-        & (~F.col("y_outside") | (F.col("x_doc_id") < F.col("y_doc_id")))
+        & (~F.col("y_outside") | (F.col("x_node") < F.col("y_node")))
         & alike_in_size("x_n", "y_n")
         & (different("x_bits", "y_bits") <= MOST_DIFFERENT)
         & (F.filter(F.arrays_zip("x_bands", "y_bands"), lambda b: b["x_bands"] == b["y_bands"])[0]["x_bands"] == x["key"])
     )
-    rest = x.join(y, fits).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    rest = x.join(y, fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    forget(open_, keys, x, y, stars)
     if not rest.isEmpty():
-        more = verified(docs, rest, "rest-links")
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "components")
+        more = verified(wanted_texts(docs, some, reps, rest), rest, "rest-links")
+        both = keep(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "links")
+        forget(found, more)
+        found = components(both, "components")
+        forget(both)
+    forget(rest, reps)
+
+    # The least node of a component has its least doc_id.
+    rooted = keep(classes.join(found, "node", "left").select("class1", "class2", F.coalesce("root", "node").alias("root")), "rooted")
+    own = keep(rooted.join(classes.select(F.col("node").alias("root"), F.col("rep").alias("component_id")), "root"), "components")
+    forget(classes, found, rooted)
+    out = table.select("doc_id", "h", "n_shingles", "class1", "class2").join(own, ["class1", "class2"], "left")
+    has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(has, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "h", "n_shingles", F.when(has, F.col("root")).alias("root"), component.alias("component_id"))
+    out._reads = table, own
+    return out
+
+
+def wanted_texts(docs: DataFrame, some: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the nodes of pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = keep(reps.select("node", "doc_id", "h").join(nodes, "node", "left_semi"), "wanted")
+    few = ids.count() <= BROADCAST_IDS
+    texts = texts_of(docs).join(F.broadcast(ids) if few else ids, ["doc_id", "h"])
+    # A row that is repeated is sent once.
+    if not some.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return texts.select("node", "text")
 
-    members = table.select("doc_id", "n_shingles", "class1", "class2")
-    out = members.join(classes, ["class1", "class2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep")
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    found = linked(docs)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, with their own columns. Of rows that share a doc_id one stays, by hash of its text; null doc_ids all stay."""
-    found = keep(clusters(docs).select("doc_id", "kept"), "kept")
-    gone = keep(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    """The documents that stay, with their own columns: one row of each component, and all rows without a component.
+
+    Of a component that is a row of its least doc_id: among several the one whose text, then whose whole row, has the least hash.
+    """
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    keys = [F.col(f"c{place(docs, 'doc_id')}").cast("long").alias("doc_id"), F.xxhash64(F.col(f"c{place(docs, 'text')}").cast("string")).alias("h")]
+    rows = plain.select("*", *keys)
+    every = linked(docs)
+    found = keep(every.where("root is not null"), "found")
+    forget(*every._reads)
+    first = found.where("doc_id = component_id").groupBy("root").agg(F.min("h").alias("least_h"), F.count("*").alias("n"))
+    ties = keep(first.where("n > 1").select("root", "least_h").coalesce(1), "ties")
+    tied = not ties.isEmpty()
+    again = found.where("doc_id = component_id").join(ties, "root")
+    gone = found.where("doc_id <> component_id").select("doc_id", "h")
+    if tied:
+        gone = gone.union(again.where("h <> least_h").select("doc_id", "h"))
+    gone = keep(gone.distinct(), "gone")
+    if not tied:
+        forget(found)
     few = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    again = keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    n = again.count()
-    if not n:
-        return out.select(*docs.columns)
-    again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    once = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(row))).alias("row")).select("row.*")
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    out = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "h"], "left_anti")
+    if tied:
+        twice = again.where("h = least_h").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+        twice = keep(twice.coalesce(1), "repeated")
+        forget(found)
+        n = twice.count()
+        if n:
+            twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+            row = F.struct(*plain.columns)
+            once = out.join(twice, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+            out = out.join(twice, ["doc_id", "h"], "left_anti").select(*plain.columns).unionByName(once)
+    return out.select(*plain.columns).toDF(*docs.columns)
