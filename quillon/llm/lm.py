@@ -12,9 +12,11 @@ is counted, smoothed and built as a trie of its own (see eftrie), memory-mapped
 distinct n-grams that each block of texts asks of the shard.  The answers come back to the block, in 16 bits.
 
 Beside the score stands the add-one unigram baseline of word tokens, with exact counts of all words.  The vocabulary
-has no bound, so it is never broadcast: texts are kept in blocks of about `BLOCK_BYTES`; the distinct words of a block go
-to shards by hash, where counts are added up, and the counts come back to the block.  Hot words cost one entry a
-block.  Shards are as many as shuffle partitions.
+has no bound, so it is never broadcast: texts are kept in blocks of about `BLOCK_BYTES`; counts are added up by hash in
+shards, the distinct words of a block go there too, and their counts come back to the block.  Hot words cost one entry a
+block and task.  Shards are as many as shuffle partitions at least, and more where the texts are over `SHARD_BYTES` a shard.  A task goes
+through its shards one by one and holds the distinct n-grams or words of one; of n-grams these are 256^3 for each context that the shard
+has, however long the corpus is.
 
 Null and empty texts are the end alone.  Null doc_ids are scored, and learnt from as the caller says.  Rows are
 scored one for one.  With nothing to learn from, all symbols are equally likely and N = V = 0.  Other columns are ignored.
@@ -22,6 +24,7 @@ scored one for one.  With nothing to learn from, all symbols are equally likely
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import os
 import tempfile
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import eftrie
 from quillon.llm import textkit as tk
-from quillon.llm.frames import keep, shared_dir, shuffle_width
+from quillon.llm.frames import forget_part, keep, shared_dir, shuffle_width
 from quillon.llm.warc import file_system
 
 ORDER = 6
@@ -45,6 +48,9 @@ BACKOFF = 6
 #: n-grams are dealt by so many symbols before the last one.
 LOCAL = 3
 BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 256 << 20
+#: A stage has no more tasks than this on account of shards.
+MOST_TASKS = 50_000
 #: Bytes that no word has.
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
@@ -53,7 +59,7 @@ MOST_PENDING, MOST_HELD = 1_000_000, 700_000
 #: n-grams that are looked up together.
 MOST_ASKED = 1_000_000
 
-META, WORDS, GRAMS, ASKED = 0, 1, 2, 3
+META, WORDS, GRAMS, ASKED, WANTED = 0, 1, 2, 3, 4
 BLOCKS = "kind int, block long, shard int, doc_ids array<long>, held array<boolean>, a binary, b binary"
 
 
@@ -160,12 +166,33 @@ def asked_rows(block: int, keys: np.ndarray, shards: int) -> list[tuple]:
     return sharded(ASKED, block, keys[order], None, shard, shards)
 
 
+class Counted:
+    """Counts of a task by key, added up now and then and given out as rows before they are too many."""
+
+    def __init__(self, rows: Callable[[np.ndarray, np.ndarray], list[tuple]]):
+        self.rows, self.held, self.pending = rows, [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, n.astype(np.int32)))
+        self.pending += len(keys)
+        if self.pending > MOST_PENDING:
+            self.held = [merged(self.held)]
+            self.pending = len(self.held[0][0])
+            if self.pending > MOST_HELD:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield _record(self.rows(*merged(self.held)))
+        self.held, self.pending = [], 0
+
+
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """Blocks of spelled texts, their words and n-grams by shard, and counts of n-grams by shard. docs: doc_id, text, held."""
+    """Blocks of spelled texts, their words and n-grams by shard, and counts of words and n-grams by shard. docs: doc_id, text, held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: list[tuple[np.ndarray, np.ndarray]] = []
-        pending = 0
+        gram_counts = Counted(lambda keys, n: gram_rows(keys, n, shards))
+        word_counts = Counted(lambda keys, n: sharded(WORDS, 0, keys, n, shards_of(keys, shards), shards))
         for batch in batches:
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, buf, off in tk.blocks(batch.column("text"), BLOCK_BYTES):
@@ -175,9 +202,10 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                 learnt = ~held[lo:hi]
                 own = np.repeat(learnt, np.diff(word_at))
                 words, place = np.unique(h, return_inverse=True)
-                n = np.bincount(place[own], minlength=len(words)).astype(np.int64)
+                n = np.bincount(place[own], minlength=len(words))
                 rows = [(META, block, -1, batch.column("doc_id").slice(lo, hi - lo).to_pylist(), held[lo:hi].tolist(), press(data), press(at))]
-                yield _record(rows + sharded(WORDS, block, words, n, shards_of(words, shards), shards))
+                yield _record(rows + sharded(WANTED, block, words, None, shards_of(words, shards), shards))
+                yield from word_counts.add(words[n > 0], n[n > 0])
                 asked = []
                 for a, b in row_ranges(at):
                     key, key_at = grams(data[at[a] : at[b]], at[a : b + 1] - at[a])
@@ -185,23 +213,47 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                     asked.append(np.unique(key[~own]))
                     key = np.sort(key[own])
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                    counted.append((key[first], np.diff(np.append(first, len(key))).astype(np.int32)))
+                    yield from gram_counts.add(key[first], np.diff(np.append(first, len(key))))
                     asked.append(key[first])
-                    pending += len(first)
                 yield _record(asked_rows(block, np.unique(np.concatenate(asked)), shards))
-                if pending > MOST_PENDING:
-                    counted = [merged(counted)]
-                    pending = len(counted[0][0])
-                    if pending > MOST_HELD:
-                        yield _record(gram_rows(*counted[0], shards))
-                        counted, pending = [], 0
-        if counted:
-            yield _record(gram_rows(*merged(counted), shards))
+        yield from word_counts.rest()
+        yield from gram_counts.rest()
         tk.trim()
 
     return docs.mapInArrow(run, BLOCKS)
 
 
+Asks = Iterator[tuple[int, np.ndarray]]
+
+
+def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Asks]]:
+    """Rows sorted by shard and kind, counts before what is asked -> of every shard its distinct keys, their counts and (block, keys) that are asked.
+
+    Counts are added up as they come, and what is asked is read as the caller goes on.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "block", "a", "b")), strict=True):
+                yield *row[:3], np.cumsum(unpress(row[3], "<u8"), dtype=np.uint64), row[4]
+
+    for shard, own in itertools.groupby(rows(), lambda r: r[0]):
+        counts, pending, most, ask = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0, MOST_PENDING, None
+        for row in own:
+            if row[1] not in (WORDS, GRAMS):
+                ask = row
+                break
+            counts.append((row[3], unpress(row[4], "<i8")))
+            pending += len(row[3])
+            if pending > most:
+                counts = [merged(counts)]
+                pending = len(counts[0][0])
+                most = 2 * pending + MOST_PENDING
+        keys, n = merged(counts)
+        del counts
+        yield shard, keys, n, ((r[2], r[3]) for r in itertools.chain([ask], own)) if ask else iter(())
+
+
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
     """Rows sorted by shard -> all rows of a shard: (shard, block, keys, n)."""
     held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
@@ -216,13 +268,16 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each row, with the words' total counts; and one for the shard (block -1) with its tokens and distinct words."""
-    for rows in by_shard(batches):
-        keys, n = added(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
-        out = [(WORDS, -1, rows[0][0], [int(n.sum()), int((n > 0).sum())], None, None, None)]
-        out += [(WORDS, block, shard, None, None, press(n[np.searchsorted(keys, own)]), None) for shard, block, own, _ in rows]
-        for a in range(0, len(out), 256):
-            yield _record(out[a : a + 256])
+    """For each row that asks, the words' total counts; and a row for the shard (block -1) with its tokens and distinct words."""
+    for shard, keys, n, asks in shards_in(batches):
+        yield _record([(WORDS, -1, shard, [int(n.sum()), len(keys)], None, None, None)])
+        for some in itertools.batched(asks, 64):
+            out = []
+            for block, own in some:
+                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                count = np.where(keys[at] == own, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+                out.append((WORDS, block, shard, None, None, press(count.astype(np.int64)), None))
+            yield _record(out)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,65 +383,52 @@ def _answers(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     """Rows sorted by shard and kind -> for each row that asks, the log10 probabilities of its n-grams. sent: the levels up to LOCAL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, trie = None, None
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        counts, pending, most = [none], 0, MOST_PENDING
-        asked: list[tuple[int, np.ndarray]] = []
-        waiting = 0
-
-        def answered() -> Iterator[pa.RecordBatch]:
-            if not asked:
-                return
-            new, back = np.unique(np.concatenate([keys for _, keys in asked]), return_inverse=True)
-            p = trie.log10(new)[back]
-            out, a = [], 0
-            for block, keys in asked:
-                codes, scale = eftrie.quantised(p[a : a + len(keys)])
-                out.append((ASKED, block, shard, None, None, press(codes), scale.tobytes()))
-                a += len(keys)
-            for a in range(0, len(out), 256):
-                yield _record(out[a : a + 256])
-
-        for batch in batches:
-            for s, kind, block, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "block", "a", "b")), strict=True):
-                if s != shard:
-                    yield from answered()
-                    asked, waiting = [], 0
-                    shard, trie = s, None
-                    counts, pending, most = [none], 0, MOST_PENDING
-                keys = np.cumsum(unpress(a, "<u8"), dtype=np.uint64)
-                if kind == GRAMS:
-                    counts.append((keys, unpress(b, "<i8")))
-                    pending += len(keys)
-                    if pending > most:
-                        counts = [merged(counts)]
-                        pending = len(counts[0][0])
-                        most = 2 * pending + MOST_PENDING
-                    continue
-                if trie is None:
-                    trie = mapped([eftrie.packed(trie_arrays(levels_of(*merged(counts), sent.value)))])
-                    counts = [none]
-                asked.append((block, keys))
-                waiting += len(keys)
+        for shard, keys, n, asks in shards_in(batches):
+            trie = mapped([eftrie.packed(trie_arrays(levels_of(keys, n, sent.value)))])
+            del keys, n
+            asked: list[tuple[int, np.ndarray]] = []
+            waiting = 0
+            for ask in asks:
+                asked.append(ask)
+                waiting += len(ask[1])
                 if waiting > MOST_ASKED:
-                    yield from answered()
+                    yield from answered(shard, trie, asked)
                     asked, waiting = [], 0
-        yield from answered()
+            yield from answered(shard, trie, asked)
         tk.trim()
 
     return run
 
 
+def answered(shard: int, trie: eftrie.Trie, asked: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if not asked:
+        return
+    new, back = np.unique(np.concatenate([keys for _, keys in asked]), return_inverse=True)
+    p = trie.log10(new)[back]
+    out, a = [], 0
+    for block, keys in asked:
+        codes, scale = eftrie.quantised(p[a : a + len(keys)])
+        out.append((ASKED, block, shard, None, None, press(codes), scale.tobytes()))
+        a += len(keys)
+    for a in range(0, len(out), 256):
+        yield _record(out[a : a + 256])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """Score every row of docs; the model learns from the rows for which held_out is false."""
     spark = docs.sparkSession
-    shards = shuffle_width(spark)
+    width = shuffle_width(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(width, -(-size // SHARD_BYTES))
+    tasks = max(width, min(shards, MOST_TASKS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    table = keep(blocks(rows, shards), "lm-blocks")
-    dealt = lambda *kinds: table.where(F.col("kind").isin(*kinds)).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
+    table = keep(blocks(rows, shards), "lm-blocks", "kind")
+    dealt = lambda *kinds: table.where(F.col("kind").isin(*kinds)).repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "block")
+    answers = keep(dealt(WORDS, WANTED).mapInArrow(_word_counts, BLOCKS), "lm-counts")
+    forget_part(table, "kind", WORDS, WANTED)
     # At most 256^LOCAL rows.
     short = table.where(F.col("kind") == GRAMS).select("a", "b").mapInArrow(_short_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys, counted = counts_of(short)
@@ -394,7 +436,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     for k in range(1, LOCAL + 1):
         low.append(smoothed(keys, counted, k, low[-1] if low else None))
     likely = keep(dealt(GRAMS, ASKED).mapInArrow(_answers(spark.sparkContext.broadcast(low)), BLOCKS), "lm-answers")
-    answers = keep(dealt(WORDS).mapInArrow(_word_counts, BLOCKS), "lm-counts")
+    forget_part(table, "kind", GRAMS, ASKED)
     tokens = answers.where("block = -1").agg(F.sum(F.col("doc_ids")[0]).alias("n"), F.sum(F.col("doc_ids")[1]).alias("v")).first()
     ends = table.where(F.col("kind") == META).agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     n, v = (tokens["n"] or 0) + ends, (tokens["v"] or 0) + (ends > 0)
@@ -439,4 +481,4 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         tk.trim()
 
     parts = table.where(F.col("kind") == META).union(answers.where("block >= 0")).union(likely)
-    return parts.repartition(shards, "block").sortWithinPartitions("block", "shard").mapInArrow(run, SCORES)
+    return parts.repartition(width, "block").sortWithinPartitions("block", "shard").mapInArrow(run, SCORES)
