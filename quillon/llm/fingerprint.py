@@ -2,7 +2,8 @@
 
 The lexicon holds the terms (lower-cased words) whose inverse document frequency lies in a band: those in at most a
 tenth and at least one in 10,000 of all documents, and in two at least.  At most (mean distinct terms
-of a document) * 10,000 terms can be that frequent, whatever the corpus, so the lexicon may be broadcast.  Document
+of a document) * 10,000 terms can be that frequent, whatever the corpus.  A lexicon of up to `MOST_TERMS` is broadcast; a larger one stays in
+files of the shared folder, which tasks go through one by one for the words of some texts at a time, with the same result.  Document
 frequencies are counted over all rows.
 
 Each of `SUBSETS` randomised subsets of the lexicon keeps a term with probability 2^-j; a document's sorted distinct
@@ -24,13 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.frames import shuffle_width
+from quillon.llm.frames import forget, keep, shuffle_width
+from quillon.llm.warc import file_system
 
 MOST_COMMON, LEAST_COMMON = 0.1, 1e-4
+#: Terms that are broadcast (8 bytes each), and terms of a file of a larger lexicon.
+MOST_TERMS, FILE_TERMS = 12_000_000, 2_000_000
 SUBSETS = 64
 AIM = 0.75
 #: About so many documents lie between two bounds of the order of doc_id, with at most so many bounds.
@@ -75,21 +80,47 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield out(*merged())
 
 
-def lexicon(docs: DataFrame, most: float = MOST_COMMON, least: float = LEAST_COMMON) -> np.ndarray:
-    """Hashes of the terms in the band, ascending."""
+Terms = np.ndarray | list[str]
+
+
+def lexicon(docs: DataFrame, most: float = MOST_COMMON, least: float = LEAST_COMMON, most_terms: int = MOST_TERMS, file_terms: int = FILE_TERMS) -> Terms:
+    """Hashes of the terms in the band, ascending; of more than most_terms the files that hold them."""
     n = docs.count()
     df = docs.select(F.col("text").cast("string")).mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    chosen = df.where((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= most * n)).select("term").toArrow()
-    return np.sort(chosen.column("term").to_numpy().view(np.uint64))
+    chosen = keep(df.where((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= most * n)).select("term"), "lexicon")
+    size = chosen.count()
+    if size <= most_terms:
+        terms = np.sort(chosen.toArrow().column("term").to_numpy().view(np.uint64))
+        forget(chosen)
+        return terms
+    files = keep(chosen.repartition(-(-size // file_terms)), "lexicon-files")
+    forget(chosen)
+    return sorted(files.inputFiles())
+
+
+def in_files(files: list[str], words: np.ndarray) -> np.ndarray:
+    """Those of ascending distinct words that are in the files."""
+    found = [np.zeros(0, np.uint64)]
+    for uri in files:
+        store, path = file_system(uri)
+        terms = pq.read_table(path, columns=["term"], filesystem=store).column("term").to_numpy().view(np.uint64)
+        found.append(words[np.isin(words, terms)])
+    return np.sort(np.concatenate(found))
 
 
 class Prints:
     """Fingerprints of blocks of texts: j of each (-1: by all words, -2: empty) and hashes, n x 2 x SUBSETS, 0 for an empty subset."""
 
-    def __init__(self, terms: np.ndarray):
-        self.terms = tk.HashTable(terms)
+    def __init__(self, terms: Terms):
+        self.files = terms if isinstance(terms, list) else None
+        self.terms = None if self.files else tk.HashTable(terms)
+        #: Bytes of texts that are looked at together.
+        self.together = tk.BLOCK * (64 if self.files else 1)
 
     def of(self, column: pa.Array) -> list[tuple[str, int, np.ndarray]]:
+        if self.files:
+            own = [np.unique(tk.words(buf, off)[0]) for _, _, buf, off in tk.blocks(column)]
+            self.terms = tk.HashTable(in_files(self.files, np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))))
         out: list[tuple[str, int, np.ndarray]] = []
         for _, _, buf, off in tk.blocks(column):
             out += self._block(buf, off)
@@ -155,7 +186,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def with_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def with_edited(docs: DataFrame, terms: Terms) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and likenesses; the next document is the one of next larger doc_id.
 
     Texts are shuffled once, compressed, by spans of doc_id, and each span is read in order; the first text of a span is also
@@ -232,7 +263,7 @@ def with_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 text = unpress.decompress(z).decode()
                 held.append((doc, ghost, text))
                 size += len(text)
-                if size > tk.BLOCK:
+                if size > prints.together:
                     yield from emit(False)
         yield from emit(True)
 
@@ -240,7 +271,7 @@ def with_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return dealt.sortWithinPartitions("span", "ghost", F.asc_nulls_first("doc_id"), "z").mapInArrow(read, OUT)
 
 
-def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def fingerprints(docs: DataFrame, terms: Terms) -> DataFrame:
     """doc_id and fingerprint of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
