@@ -14,6 +14,8 @@ import math
 
 import numpy as np
 
+from quillon.llm.textkit import ranked
+
 
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high parts as unary gaps in a bit vector, with rank directories."""
@@ -195,7 +197,7 @@ class Trie:
         out = np.full(len(grams), self.floor)
         todo, weight = np.arange(len(grams)), np.zeros(len(grams))
         for size in range(self.order, 0, -1):
-            own, back = np.unique(grams[todo] & np.uint64((1 << 8 * size) - 1), return_inverse=True)
+            own, back = ranked(grams[todo] & np.uint64((1 << 8 * size) - 1))
             contexts, of = distinct(own >> np.uint64(8))
             node = self.nodes(size - 1, contexts)[of]
             last = self.down(size - 1, node, (own & np.uint64(255)).astype(np.int64))

@@ -55,9 +55,9 @@ MOST_TASKS = 50_000
 PAD, END, SPACE = 0x0A, 0x0D, 0x20
 SYMBOLS = 257
 #: n-grams that a task holds before it adds them up, and that it may hold on to after that.
-MOST_PENDING, MOST_HELD = 1_000_000, 700_000
+MOST_PENDING, MOST_HELD = 600_000, 500_000
 #: n-grams that are looked up together.
-MOST_ASKED = 1_000_000
+MOST_ASKED = 400_000
 
 META, WORDS, GRAMS, ASKED, WANTED = 0, 1, 2, 3, 4
 BLOCKS = "kind int, block long, shard int, doc_ids array<long>, held array<boolean>, a binary, b binary"
@@ -91,7 +91,7 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and sums of n."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
@@ -152,6 +152,7 @@ def sharded(kind: int, block: int, keys: np.ndarray, n: np.ndarray | None, shard
 def gram_shards(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of ascending n-grams by shard, and their shards in this order."""
     shard = shards_of(tk.mix(keys >> np.uint64(8) & mask(LOCAL)), shards)
+    shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # short ones are sorted by counting
     order = np.argsort(shard, kind="stable")
     return order, shard[order]
 
@@ -201,21 +202,22 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                 h, word_at = tk.words(data, at)
                 learnt = ~held[lo:hi]
                 own = np.repeat(learnt, np.diff(word_at))
-                words, place = np.unique(h, return_inverse=True)
+                words, place = tk.ranked(h)
                 n = np.bincount(place[own], minlength=len(words))
                 rows = [(META, block, -1, batch.column("doc_id").slice(lo, hi - lo).to_pylist(), held[lo:hi].tolist(), press(data), press(at))]
                 yield _record(rows + sharded(WANTED, block, words, None, shards_of(words, shards), shards))
                 yield from word_counts.add(words[n > 0], n[n > 0])
+                del h, words, place, own, n
                 asked = []
                 for a, b in row_ranges(at):
                     key, key_at = grams(data[at[a] : at[b]], at[a : b + 1] - at[a])
                     own = np.repeat(learnt[a:b], np.diff(key_at))
-                    asked.append(np.unique(key[~own]))
+                    asked.append(tk.distinct(key[~own]))
                     key = np.sort(key[own])
                     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
                     yield from gram_counts.add(key[first], np.diff(np.append(first, len(key))))
                     asked.append(key[first])
-                yield _record(asked_rows(block, np.unique(np.concatenate(asked)), shards))
+                yield _record(asked_rows(block, tk.distinct(np.concatenate(asked)), shards))
         yield from word_counts.rest()
         yield from gram_counts.rest()
         tk.trim()
@@ -336,7 +338,7 @@ def trie_arrays(levels: list[Level]) -> dict[str, np.ndarray]:
         if k < len(levels):
             bow[np.searchsorted(keys, levels[k].contexts)] = np.log10(levels[k].weights)
         out.append((keys, p, bow))
-        contexts = np.unique(keys >> np.uint64(8))
+        contexts = tk.distinct(keys >> np.uint64(8))
     return eftrie.build(out[::-1], floor)
 
 
@@ -403,7 +405,7 @@ def _answers(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 def answered(shard: int, trie: eftrie.Trie, asked: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if not asked:
         return
-    new, back = np.unique(np.concatenate([keys for _, keys in asked]), return_inverse=True)
+    new, back = tk.ranked(np.concatenate([keys for _, keys in asked]))
     p = trie.log10(new)[back]
     out, a = [], 0
     for block, keys in asked:
@@ -451,15 +453,16 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 return
             ids, held, data, at = meta
             h, word_at = tk.words(data, at)
-            words, place = np.unique(h, return_inverse=True)
+            words, place = tk.ranked(h)
             c = np.concatenate([*counts, np.zeros(0, np.int64)])
             if len(c) != len(words):
                 raise ValueError(f"{len(c)} counts for {len(words)} words")
             log = np.log10((c + 1) / (n + v + 1))[place] if len(words) else np.zeros(0)
             known = tk.segment_sums((c > 0)[place].astype(np.int64) if len(words) else np.zeros(0, np.int64), word_at) + (ends > 0)
             base = tk.segment_sums(log, word_at) + np.log10((ends + 1) / (n + v + 1))
+            del h, words, place, log, c
             key, key_at = grams(data, at)
-            key, place = np.unique(key, return_inverse=True)
+            key, place = tk.ranked(key)
             p = np.concatenate([*found, np.zeros(0)])
             if len(p) != len(key):
                 raise ValueError(f"{len(p)} answers for {len(key)} n-grams")

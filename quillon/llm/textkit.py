@@ -124,6 +124,22 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, starts, ends), at
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; by sorting, which is faster than numpy's hashing for such keys."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and for each element the place of its own."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.append(True, y[1:] != y[:-1]) if len(y) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return y[new], place
+
+
 def owners(at: np.ndarray) -> np.ndarray:
     """For offsets at (n+1 values): which document each element belongs to."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
