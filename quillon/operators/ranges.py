@@ -43,13 +43,15 @@ def coalesced(ranges: DataFrame, gap: int, by: list[str] | None = None, most: in
     """
     by_ = tuple(by or ())
     end = F.col("offset") + F.col("size")
-    placed = prefix(ranges, end, "_reach", F.max, "offset", bin_bytes, by=by_, then=("size",))
+    # Dealt out once: all that follows reads this exchange.  Bins are few, so their totals need no chunks of their own.
+    ranges = ranges.repartition(*by_, F.floor(F.col("offset") / bin_bytes))
+    placed = prefix(ranges, end, "_reach", F.max, "offset", bin_bytes, 1, by_, ("size",))
     fresh = F.col("offset") > F.col("_reach") + gap
     if most:
-        placed = prefix(placed, F.col("offset"), "_last", F.max, "offset", bin_bytes, by=by_, then=("size",))
+        placed = prefix(placed, F.col("offset"), "_last", F.max, "offset", bin_bytes, 1, by_, ("size",))
         fresh = fresh | (F.floor(F.col("offset") / most) > F.floor(F.col("_last") / most))
     marked = placed.withColumn("_new", F.coalesce(fresh, F.lit(False)).cast("long"))
-    marked = prefix_sum(marked, F.col("_new"), "_before", "offset", bin_bytes, by=by_, then=("size", "_new")).withColumn("range_group", F.col("_before") + F.col("_new"))
+    marked = prefix_sum(marked, F.col("_new"), "_before", "offset", bin_bytes, 1, by_, ("size", "_new")).withColumn("range_group", F.col("_before") + F.col("_new"))
     marked = marked.drop("_reach", "_last", "_new", "_before")
     groups = marked.groupBy(*by_, "range_group").agg(F.min("offset").alias("group_start"), F.max(end).alias("group_end"))
     for x in by_:
