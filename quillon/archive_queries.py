@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -322,12 +321,8 @@ def _dataset(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     store.create_dir(f"{place}/METADATA", recursive=True)
     lines = lines.groupBy("parent_id", F.col("name").alias("id")).agg(F.min("offset").alias("internal:offset"), F.min("size").alias("internal:size"))
     rank = layout.prefix_sum(samples.withColumnRenamed("id", "own"), F.lit(1), "idx", "own")
-    tables = {"collection": rank.select(F.col("idx").alias("ord"), F.col("own").alias("id"), "o_orderstatus"), "sample": lines.withColumn("ord", F.xxhash64("parent_id", "id").bitwiseAND(F.lit((1 << 62) - 1)))}
-    out = []
-    for k, (name, df) in enumerate(tables.items()):
-        with store.open_output_stream(f"{place}/METADATA/{name}.parquet", compression=None) as f:
-            pq.write_table(df.orderBy("ord").drop("ord").toArrow(), f)  # a level of a test table
-        out.append((k, f"METADATA/{name}.parquet", f"{folder}/METADATA/{name}.parquet"))
+    tables = {"collection": rank.orderBy("idx").select(F.col("own").alias("id"), "o_orderstatus"), "sample": lines.orderBy("parent_id", "id")}
+    out = [(k, f"METADATA/{name}.parquet", writer.write_table(df, f"{folder}/METADATA/{name}.parquet")) for k, (name, df) in enumerate(tables.items())]
     with store.open_output_stream(f"{place}/COLLECTION.json", compression=None) as f:
         f.write(json.dumps({"id": "orders", "levels": list(tables)}).encode())
     out.append((len(out), "COLLECTION.json", f"{folder}/COLLECTION.json"))

@@ -71,32 +71,38 @@ def stage_metadata(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_manifest(manifest: DataFrame, path: str, metadata: dict[str, str] | None = None, row_group: int = 100_000) -> str:
-    """Write the manifest as one Parquet file with unsigned 64-bit offset and size, in order of ord; key-value metadata is carried in the schema.
+    """Write the manifest as one Parquet file with unsigned 64-bit offset and size, in order of ord; key-value metadata is carried in the schema."""
+    names = [x for x in manifest.columns if x != "ord"]
+    return write_table(manifest.orderBy("ord").select(*names), path, dict.fromkeys(c.RESERVED_COLUMNS, pa.uint64()), metadata, row_group)
+
+
+def write_table(rows: DataFrame, path: str, kinds: dict[str, pa.DataType] | None = None, metadata: dict[str, str] | None = None, row_group: int = 100_000) -> str:
+    """Write sorted rows of any number as one Parquet file, in their order. kinds: types of columns, where they are not Spark's.
 
     Spark sorts and writes pieces to the shared folder, and these are read in order, a batch at a time.
     """
-    names = [x for x in manifest.columns if x != "ord"]
-    pieces = f"{scratch(manifest.sparkSession)}/manifest-{uuid.uuid4().hex}"
-    manifest.orderBy("ord").select(*names).write.parquet(pieces)
+    kinds = kinds or {}
+    pieces = f"{scratch(rows.sparkSession)}/manifest-{uuid.uuid4().hex}"
+    rows.write.parquet(pieces)
     store, place = resolved(pieces)
     try:
         from pyarrow import fs
 
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
-        schema = pa.schema([pa.field(f.name, pa.uint64()) if f.name in c.RESERVED_COLUMNS else f.remove_metadata() for f in pq.read_schema(files[0], filesystem=store)])
+        schema = pa.schema([pa.field(f.name, kinds[f.name]) if f.name in kinds else f.remove_metadata() for f in pq.read_schema(files[0], filesystem=store)])
         if metadata:
             schema = schema.with_metadata(metadata)
         target, name = resolved(path)
         with target.open_output_stream(name, compression=None) as out, pq.ParquetWriter(out, schema) as writer:
-            held, rows = [], 0
+            held, n = [], 0
             for file in files:
                 with store.open_input_file(file) as f:
                     for batch in pq.ParquetFile(f).iter_batches():
                         held.append(pa.Table.from_batches([batch]).replace_schema_metadata(None).cast(schema.remove_metadata()).replace_schema_metadata(schema.metadata))
-                        rows += len(batch)
-                        if rows >= row_group:
+                        n += len(batch)
+                        if n >= row_group:
                             writer.write_table(pa.concat_tables(held), row_group_size=row_group)
-                            held, rows = [], 0
+                            held, n = [], 0
             if held:
                 writer.write_table(pa.concat_tables(held), row_group_size=row_group)
         return path

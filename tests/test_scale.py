@@ -126,3 +126,22 @@ def test_unique_names_equal_the_sequential_rule(spark):
     df = spark.createDataFrame(list(enumerate(given)), "ord long, name string").repartition(4)
     got = [n["unique_name"] for n in sorted(names.unique_names(df).collect(), key=lambda n: n["ord"])]
     assert len(set(got)) == len(got) and got == names.renamed(given)
+
+
+def test_levels_of_datasets_pass_the_driver_in_batches(spark, monkeypatch):
+    from quillon import queries
+
+    def whole(*_):
+        raise AssertionError("a level's table is in the driver's memory")
+
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(spark.range(0)), name, whole)
+    assert sorted(map(tuple, queries.queries()["dataset_collection"](spark, "/root/testdata/sf0.001").collect())) == [("orders", "collection,sample")] * 2
+
+
+def test_tables_of_many_pieces_are_one_file_in_order(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(3000).repartition(7).selectExpr("id div 3 as k", "concat('n', id % 3) as `a:b`", "if(id % 5 = 0, null, id) as v").orderBy("k", "a:b")
+    file = pq.ParquetFile(writer.write_table(rows, str(tmp_path / "t.parquet"), row_group=1000))
+    assert file.num_row_groups == 3 and [tuple(r.values()) for r in file.read().to_pylist()] == [(i // 3, f"n{i % 3}", None if i % 5 == 0 else i) for i in range(3000)]
