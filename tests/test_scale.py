@@ -145,3 +145,19 @@ def test_tables_of_many_pieces_are_one_file_in_order(spark, tmp_path):
     rows = spark.range(3000).repartition(7).selectExpr("id div 3 as k", "concat('n', id % 3) as `a:b`", "if(id % 5 = 0, null, id) as v").orderBy("k", "a:b")
     file = pq.ParquetFile(writer.write_table(rows, str(tmp_path / "t.parquet"), row_group=1000))
     assert file.num_row_groups == 3 and [tuple(r.values()) for r in file.read().to_pylist()] == [(i // 3, f"n{i % 3}", None if i % 5 == 0 else i) for i in range(3000)]
+
+
+def test_checksums_are_combined_in_microseconds():
+    import time
+    import zlib
+
+    from quillon import codec
+
+    parts = [(bytes([k % 251]) * (k % 60), bytes([k % 7]) * (k % 31)) for k in range(20_000)]
+    began = time.process_time()
+    found = [codec.crc_combined([(zlib.crc32(a), len(a)), (zlib.crc32(b), len(b))]) for a, b in parts]
+    assert time.process_time() - began < 5  # was 20 and more
+    assert found == [zlib.crc32(a + b) for a, b in parts]
+    zeros = bytes(70_000)  # lengths of many bits
+    assert codec.crc_combined([(zlib.crc32(b"x"), 1), (zlib.crc32(zeros), len(zeros)), (0, 0)]) == zlib.crc32(b"x" + zeros)
+    assert codec.crc_combined([(1, 5), (0, 1 << 40), (0, 1 << 40)]) == codec.crc_combined([(1, 5), (0, 1 << 41)])
