@@ -146,14 +146,16 @@ def manifest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FILES + """select ord, 'INVALID_OFFSET' as code from flat where ord % 7 in (1, 3) union all select ord, 'INVALID_NAME' from flat where ord % 7 = 2 union all select ord, 'MISSING_ENTRY' from flat where ord = (select max(ord) from b)""")
 def stage_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest's file that differs from the plan: moved, renamed and resized entries, and the last one missing."""
+    """Manifests' files that differ from the plan: one has moved, renamed and resized entries, the last one's among them, the other lacks that one."""
     manifest, paths = writer.stage_metadata(files(spark, sf_dir))
     k, last = F.col("ord") % 7, manifest.agg(F.max("ord")).first()[0]
-    bad = manifest.where(F.col("ord") != last).withColumns({"offset": F.col("offset") + F.when(k == 1, 1).otherwise(0), "name": F.when(k == 2, "other").otherwise(F.col("name")), "size": F.col("size") + F.when(k == 3, 1).otherwise(0)})
-    for n in c.RESERVED_COLUMNS:
-        bad = bad.withColumn(n, F.col(n).cast("decimal(20,0)"))
-    parquet = writer.write_manifest(bad, f"{_folder(spark)}/bad.parquet")
-    return writer.stage_faults(paths, parquet).select("ord", "code")
+    changed = manifest.withColumns({"offset": F.col("offset") + F.when(k == 1, 1).otherwise(0), "name": F.when(k == 2, "other").otherwise(F.col("name")), "size": F.col("size") + F.when(k == 3, 1).otherwise(0)})
+    found = []
+    for name, bad in (("changed", changed), ("short", manifest.where(F.col("ord") != last))):
+        for n in c.RESERVED_COLUMNS:
+            bad = bad.withColumn(n, F.col(n).cast("decimal(20,0)"))
+        found.append(writer.stage_faults(paths, writer.write_manifest(bad, f"{_folder(spark)}/{name}.parquet")))
+    return found[0].unionByName(found[1]).select("ord", "code")
 
 
 @query(FILES + 'select name, "offset", size, md5(text) as digest from flat')

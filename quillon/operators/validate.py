@@ -121,16 +121,25 @@ def numbered(rows: DataFrame, order: str, chunk: int = 4096) -> DataFrame:
     return out.drop("ord", "_order", order).withColumnRenamed("_place", "ord")
 
 
-def positional_faults(planned: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows whose name, offset or size differ from the plan's of the same ord, nulls included, and rows that one side lacks."""
+def positional_faults(planned: DataFrame, manifest: DataFrame, own: str = "ord") -> DataFrame:
+    """Rows whose name, offset or size differ from the plan's of the same ord, nulls included, and rows that one side lacks.
+
+    own: a column of the plan that names its rows in the result, if not ord; rows that the plan lacks are named by their ord.
+    """
     fields = ("name", "offset", "size")
-    a = planned.select("ord", *(F.col(x).cast("string").alias("a_" + x) for x in fields), F.lit(True).alias("_a"))
+    a = planned.select("ord", *(F.col(x).cast("string").alias("a_" + x) for x in fields), F.col(own).alias("_own"), F.lit(True).alias("_a"))
     b = manifest.select("ord", *(F.col(x).cast("string").alias("b_" + x) for x in fields), F.lit(True).alias("_b"))
-    both = a.join(b, "ord", "full_outer").withColumn("name", F.coalesce("a_name", "b_name"))
-    lost = faults(both.where("_a is null or _b is null"), "MISSING_ENTRY", F.when(F.col("_b").isNull(), "the manifest has fewer rows").otherwise("the manifest has more rows"))
-    matched = both.where("_a and _b")
+    both = a.join(b, "ord", "full_outer").withColumn("name", F.coalesce("a_name", "b_name")).withColumn("ord", F.coalesce("_own", "ord"))
+    fault = lambda when, code, detail: F.when(when, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
+    lacks = F.col("_a").isNull() | F.col("_b").isNull()
+    tests = [fault(lacks, "MISSING_ENTRY", F.when(F.col("_b").isNull(), "the manifest has fewer rows").otherwise("the manifest has more rows"))]
     code = {"name": "INVALID_NAME", "offset": "INVALID_OFFSET", "size": "INVALID_OFFSET"}
-    return union(lost, *(faults(matched.where(~F.col("a_" + x).eqNullSafe(F.col("b_" + x))), code[x], F.concat(F.lit(f"{x} mismatch: planned "), F.coalesce("a_" + x, F.lit("null")), F.lit(", found "), F.coalesce("b_" + x, F.lit("null")))) for x in fields))
+    for x in fields:
+        said = F.concat(F.lit(f"{x} mismatch: planned "), F.coalesce("a_" + x, F.lit("null")), F.lit(", found "), F.coalesce("b_" + x, F.lit("null")))
+        tests.append(fault(~lacks & ~F.col("a_" + x).eqNullSafe(F.col("b_" + x)), code[x], said))
+    # One pass over the rows for all rules: the plan behind them is long.
+    found = both.select("ord", "name", F.explode(F.filter(F.array(*tests), lambda t: t.isNotNull())).alias("t"))
+    return found.select("t.code", F.col("ord").cast("long").alias("ord"), F.col("name").cast("string").alias("name"), "t.detail")
 
 
 def row_count_faults(planned: DataFrame, manifest: DataFrame) -> DataFrame:

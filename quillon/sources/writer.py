@@ -350,11 +350,11 @@ def stage_create(out: str, paths: DataFrame, parquet: str, check: bool = True) -
 
 
 def stage_faults(paths: DataFrame, parquet: str) -> DataFrame:
-    """Where a manifest's Parquet file differs from the plan of paths (ord, name, path)."""
+    """Where a manifest's Parquet file differs from the plan of paths (ord, name, path); ord is that of paths, and of rows that paths lack the place in the file."""
     manifest = paths.sparkSession.read.parquet(parquet if "://" in parquet else "file://" + absolute(parquet)).select("name", "offset", "size")
     manifest = manifest.withColumn("_at", F.monotonically_increasing_id())
-    planned = layout.plan_flat(with_sizes(paths)).select("ord", "name", "offset", "size")
-    return validate.positional_faults(validate.numbered(planned, "ord"), validate.numbered(manifest, "_at"))
+    planned = layout.plan_flat(with_sizes(paths)).select("ord", "name", "offset", "size", F.col("ord").alias("own"))
+    return validate.positional_faults(validate.numbered(planned, "ord"), validate.numbered(manifest, "_at"), "own")
 
 
 def _flat(out: str, paths: DataFrame, manifest: bytes | str) -> str:

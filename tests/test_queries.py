@@ -157,3 +157,18 @@ def test_unique_names(spark):
 def test_encoding_guess(spark):
     got = [one(spark, x.encoding_guess(F.lit(bytearray(b)))) for b in (b"abc", "é".encode(), b"\x82\xff", b"")]
     assert got == ["ascii", "utf-8", "cp437", "ascii"]
+
+
+@pytest.mark.parametrize("ids", [(0, 1, 2, 3), (5, 7, 9)])
+def test_mismatches_equal_sql_for_any_last_item(spark, tmp_path, ids):
+    """The last item may be a changed one too; its ids may have gaps, and empty texts are no entries."""
+    rows = [(k, "é" * (k + 1)) for k in ids] + [(ids[-1] + 1, ""), (ids[-1] + 2, None)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    df = queries.queries()["stage_mismatches"](spark, str(tmp_path))
+    assert rows_of(df) == sorted(con.execute(queries.oracle_sql()["stage_mismatches"]).fetchall())
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
