@@ -90,3 +90,17 @@ def test_one_pass_of_python_for_each_block(spark):
     benchmark = spark.createDataFrame([(k, t) for k, t in enumerate(random_texts(30, 44, 60))], "item_id long, text string")
     plan = decontaminate.marked(docs, benchmark, 1000)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_tables_that_are_kept_give_the_drivers_memory_back(spark, monkeypatch):
+    from quillon.llm import frames
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean
+    asked = []
+    monkeypatch.setattr(frames, "trim", lambda: asked.append(beans().getHeapMemoryUsage().getUsed()))
+    monkeypatch.setattr(frames, "_given_back", -1e9)
+    kept = [frames.keep(spark.range(3), "give-back") for _ in range(2)]
+    assert len(asked) == 1  # once, and not again for a while
+    monkeypatch.setattr(frames, "_given_back", -1e9)
+    assert frames.give_back(spark) and not frames.give_back(spark)
+    frames.forget(*kept)
