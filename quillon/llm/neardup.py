@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import textkit as tk
-from quillon.llm.frames import forget, keep, place, shuffle_width
+from quillon.llm.frames import forget, place, shuffle_width
+from quillon.llm.frames import keep_numbers as keep
 
 WORDS = 5
 #: Linked where 100 * intersection >= 75 * union.

@@ -2,11 +2,14 @@
 
 import hashlib
 import io
+import os
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, warc
+from quillon.llm import chat, decontaminate, frames, neardup, warc
 from tests.llm.test_kernels import lower, random_texts
 from tests.llm.test_operators import documents
 
@@ -104,3 +107,43 @@ def test_tables_that_are_kept_give_the_drivers_memory_back(spark, monkeypatch):
     monkeypatch.setattr(frames, "_given_back", -1e9)
     assert frames.give_back(spark) and not frames.give_back(spark)
     frames.forget(*kept)
+
+
+def test_tables_are_kept_without_starting_processes(spark, tmp_path):
+    def started(run):
+        """The commands of processes that the JVM started meanwhile, but for the one that all of its Python workers come from."""
+        recording = spark._jvm.jdk.jfr.Recording()
+        recording.enable("jdk.ProcessStart")
+        recording.start()
+        run()
+        recording.stop()
+        file = tmp_path / "recording.jfr"
+        recording.dump(spark._jvm.java.io.File(str(file)).toPath())
+        recording.close()
+        commands = [e.getString("command") for e in spark._jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(spark._jvm.java.io.File(str(file)).toPath())]
+        return [c for c in commands if "pyspark.daemon" not in c]
+
+    rows = spark.range(2000, numPartitions=4).select("id", F.array("id", F.lit(None).cast("long")).alias("x"), (F.col("id") % 3 == 0).alias("third"), F.when(F.col("id") > 5, F.col("id").cast("int")).alias("i"))
+    rows.write.parquet(str(tmp_path / "first"))  # what starts once
+    rows.mapInArrow(lambda batches: batches, rows.schema).collect()
+    kept = []
+    assert not started(lambda: kept.extend((frames.keep_numbers(rows, "some"), frames.keep_numbers(rows.where("id < 0"), "none"))))
+    assert kept[0].dtypes == rows.dtypes == kept[1].dtypes
+    assert sorted(kept[0].collect()) == sorted(rows.collect()) and not kept[1].collect()
+    frames.forget(*kept)
+    assert not any(os.path.exists(k._kept.removeprefix("file://")) for k in kept)
+    docs = documents(spark, random_texts(40, 45, 30))
+    found = []
+    assert not started(lambda: found.extend((neardup.clusters(docs).collect(), neardup.without_near_copies(docs).collect())))
+    assert len(found[0]) == 40
+
+
+def test_kept_tables_that_changed_on_the_store_are_not_read(spark):
+    kept = frames.keep_numbers(spark.range(5000, numPartitions=1).select(F.xxhash64("id").alias("x")), "changed")
+    (file,) = Path(kept._kept.removeprefix("file://")).glob("part-*")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 3] ^= 1
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        kept.agg(F.sum("x")).collect()
+    frames.forget(kept)
